@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cordonlake.llm.leakage import leaked_items
+from cordonlake.llm.mixing import mix
+from cordonlake.llm.neardup import near_duplicates
 from cordonlake.llm.neighbours import most_similar
+from cordonlake.llm.splitting import split_items
 from cordonlake.session import table
 
 QUERIES, ORACLE = {}, {}
@@ -32,3 +36,74 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         near = most_similar(table(spark, sf_dir, name), "id", "embedding", k=5)
         parts.append(near.select(F.lit(name).alias("tab"), F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")))
     return parts[0].unionByName(parts[1]).distinct()
+
+
+def _parsed_groups(spark: SparkSession, sf_dir: str):
+    return near_duplicates(table(spark, sf_dir, "parsed_docs"), threshold=0.55, shingle=3)
+
+
+@query()
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of parsed documents in one group of near duplicates; the pairs are what is asked for, so groups expand here."""
+    members, _ = _parsed_groups(spark, sf_dir)
+    m = members.join(members.groupBy("group_id").count().where("count > 1"), "group_id", "left_semi")
+    a, b = m.select("group_id", F.col("doc").alias("doc_id_a")), m.select("group_id", F.col("doc").alias("doc_id_b"))
+    return a.join(b, "group_id").where("doc_id_a < doc_id_b").select("doc_id_a", "doc_id_b")
+
+
+@query()
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every parsed document with its class of equal texts, its group and the number of links of its class."""
+    members, links = _parsed_groups(spark, sf_dir)
+    ends = links.select(F.col("a").alias("class_id")).unionAll(links.select(F.col("b").alias("class_id")))
+    return members.join(ends.groupBy("class_id").agg(F.count("*").alias("n_links")), "class_id", "left").select(F.col("doc").alias("doc_id"), "class_id", "group_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+@query()
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of blocks of one section that had to be cut."""
+    pieces = split_items(table(spark, sf_dir, "parsed_docs"), only_oversized=True, with_text=False)
+    return pieces.where("piece = 0").select("doc_id", "first_block").distinct()
+
+
+@query()
+def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pieces of all parsed documents, each document once, at most 2,000 characters with an overlap of 200."""
+    return split_items(table(spark, sf_dir, "parsed_docs")).dropDuplicates(["doc_id", "first_block", "piece"])
+
+
+@query()
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the items of which they hold at least 12 words in a row."""
+    hits = leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return hits.where("run >= 12").select(F.col("doc_id").cast("long").alias("doc_id"), "item_id").distinct()
+
+
+@query()
+def p6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the items they give away, in part or slightly changed, with the extent of it."""
+    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+_WORDS = "len(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'))"
+
+
+@query(f"""
+    WITH d AS (SELECT source, sum({_WORDS}) AS own FROM documents GROUP BY source)
+    SELECT t.source FROM mix_targets t LEFT JOIN d ON d.source = t.source
+    WHERE t.max_repeats * coalesce(d.own, 0) < t.weight * (SELECT sum(own) FROM d)""")
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources that cannot reach their share of the mix."""
+    return p7_shares(spark, sf_dir).where("not reachable").select("source")
+
+
+@query()
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets and the shares that the mix reaches."""
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
+@query()
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is used in the mix."""
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
