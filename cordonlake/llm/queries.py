@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cordonlake.llm.defects import defective_pairs
 from cordonlake.llm.leakage import leaked_items
 from cordonlake.llm.mixing import mix
 from cordonlake.llm.neardup import near_duplicates
 from cordonlake.llm.neighbours import most_similar
+from cordonlake.llm.residue import residue
 from cordonlake.llm.splitting import split_items
 from cordonlake.session import table
 
@@ -107,3 +109,22 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each document is used in the mix."""
     return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+@query()
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answerable golden queries with a defective answer, and the kind of defect."""
+    rows = table(spark, sf_dir, "queries").where("answerable")
+    return defective_pairs(rows, "query_id", "question", "answer", "supporting_quote").select(F.col("id").alias("query_id"), "defect")
+
+
+@query()
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with an unfilled placeholder, a paragraph of filler, or mostly a message of a server or viewer."""
+    return p8_residue(spark, sf_dir).where("is_residue").select("doc_id").distinct()
+
+
+@query()
+def p8_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with what was found in it."""
+    return residue(table(spark, sf_dir, "documents"), "doc_id", "text", "tenant").withColumnRenamed("id", "doc_id")
