@@ -85,6 +85,15 @@ def _round_source(pdf: pd.DataFrame, node: int, seed: int) -> pd.DataFrame:
     return out
 
 
+def _merge(seed: int):
+    """Rounds the shares that the partitions of one group left open."""
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _round_source(pdf.sort_values("doc"), int(pdf["node"].iloc[0]), seed)
+
+    return merge
+
+
 def mix(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken", fan_in: int = 64, max_targets: int = 10_000, seed: int = 11) -> tuple[DataFrame, DataFrame]:
     """Copies of each document so that every source has its target share of a mix as large as the whole input.
@@ -143,10 +152,7 @@ def mix(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: s
     while nodes > 1:
         nodes, depth = math.ceil(nodes / fan_in), depth + 1
 
-        def merge(pdf: pd.DataFrame, depth: int = depth) -> pd.DataFrame:
-            return _round_source(pdf.sort_values("doc"), int(pdf["node"].iloc[0]), seed + depth)
-
-        level = waiting.withColumn("node", F.floor(F.col("node") / fan_in)).groupBy("source", "node").applyInPandas(merge, _ROUND)
+        level = waiting.withColumn("node", F.floor(F.col("node") / fan_in)).groupBy("source", "node").applyInPandas(_merge(seed + depth), _ROUND)
         done, waiting = done.unionByName(level.where("p is null")), level.where("p is not null")
     last = waiting.withColumn("copies", F.col("copies") + (F.pmod(F.xxhash64("doc", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30) < F.col("p")).cast("int"))
     copies = done.unionByName(last).select(F.col("doc").alias("doc_id"), "source", "size", "copies")
