@@ -7,7 +7,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cordonlake.functions.words import mix64, shingle_hashes, word_hashes
@@ -128,19 +128,20 @@ def _sketches(texts: pd.Series, shingle: int, segments: int) -> tuple[np.ndarray
         return content, count, sketch, np.split(flat, ends)
 
 
-def _jaccard(a: pd.Series, b: pd.Series, shingle: int) -> np.ndarray:
-    """Exact similarity of the shingle sets of pairs of texts."""
-    out = np.zeros(len(a))
-    wa, oa = word_hashes(a)
-    wb, ob = word_hashes(b)
-    sa, ta = shingle_hashes(wa, oa, shingle)
-    sb, tb = shingle_hashes(wb, ob, shingle)
-    ca, cb = np.searchsorted(ta, np.arange(len(a) + 1)), np.searchsorted(tb, np.arange(len(a) + 1))
-    for i in range(len(a)):
-        x, y = np.unique(sa[ca[i] : ca[i + 1]]), np.unique(sb[cb[i] : cb[i + 1]])
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        out[i] = both / (len(x) + len(y) - both) if both else 0.0
-    return out
+def _shingle_sets(docs: pd.Series, texts: pd.Series, shingle: int) -> dict[str, np.ndarray]:
+    """Sorted shingle hashes of each document of a batch, hashed once however often it occurs."""
+    once = pd.DataFrame({"doc": docs, "text": texts}).drop_duplicates("doc")
+    words, offsets = word_hashes(once["text"])
+    hashes, owner = shingle_hashes(words, offsets, shingle)
+    bounds = np.searchsorted(owner, np.arange(len(once) + 1))
+    return {d: np.unique(hashes[a:b]) for d, a, b in zip(once["doc"], bounds[:-1], bounds[1:])}
+
+
+def _jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return shared / (len(both) - shared) if shared else 0.0
 
 
 def connect(links: DataFrame) -> DataFrame:
@@ -169,7 +170,7 @@ def connect(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, shingle: int = 5,
-                    segments: int = 16, sketch_errors: int = 26) -> tuple[DataFrame, DataFrame]:
+                    segments: int = 12, sketch_errors: int = 24, broadcast_rows: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
     """Groups of texts whose shingle sets share at least ``threshold``, directly or through others.
 
     Method: a fingerprint of ``segments`` words of 23 bits, one bit of a min-hash each, so that two texts of similarity s
@@ -209,37 +210,43 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     heads = docs.join(reps, (docs["doc"] == reps["rep"]) & (docs["c1"] == reps["c1"]) & (docs["c2"] == reps["c2"]), "left_semi").dropDuplicates(["doc"])
     heads = materialize(heads.select("doc", "n_shingles", "sketch", "keys", F.monotonically_increasing_id().alias("n")), "heads")
 
-    near = F.bit_count(F.col("sketch").bitwiseXOR(F.col("o_sketch"))) <= sketch_errors
-    sized = F.least("n_shingles", "o_shingles") >= threshold * F.greatest("n_shingles", "o_shingles")
-    entries = heads.select("n", "sketch", "n_shingles", F.explode("keys").alias("key"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        name = {side: heads.select(F.col("n").alias(side), F.col("doc").alias(f"doc_{side}")) for side in "ab"}
-        named = pairs.join(name["a"], "a").join(name["b"], "b")
+    near = F.bit_count(F.col("sketch_a").bitwiseXOR(F.col("sketch_b"))) <= sketch_errors
+    sized = F.least("size_a", "size_b") >= threshold * F.greatest("size_a", "size_b")
+    side = {x: heads.select(F.col("n").alias(x), F.col("doc").alias(f"doc_{x}"), F.col("sketch").alias(f"sketch_{x}"), F.col("n_shingles").alias(f"size_{x}")) for x in "ab"}
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        close = pairs.join(side["a"], "a").join(side["b"], "b").where(near & sized).select("a", "b", "doc_a", "doc_b")
+        close = materialize(close, f"{name}_candidates")
+        wanted = close.select(F.col("doc_a").alias("doc")).unionAll(close.select(F.col("doc_b").alias("doc"))).select(F.xxhash64("doc").alias("h")).distinct()
+        # the texts that are to be compared are picked where they are read while their ids are few enough to be broadcast
+        h = F.xxhash64("doc")
+        few = wanted.limit(broadcast_rows + 1).count() <= broadcast_rows
+        needed = texts.join(F.broadcast(wanted), h == F.col("h"), "left_semi") if few else texts
         # a document given twice is verified twice; the links are made distinct
-        with_a = named.join(texts.select(F.col("doc").alias("doc_a"), F.col("text").alias("text_a")), "doc_a")
-        both = with_a.join(texts.select(F.col("doc").alias("doc_b"), F.col("text").alias("text_b")), "doc_b")
+        with_a = close.join(needed.select(F.col("doc").alias("doc_a"), F.col("text").alias("text_a")), "doc_a")
+        both = with_a.join(needed.select(F.col("doc").alias("doc_b"), F.col("text").alias("text_b")), "doc_b")
 
         def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                for lo in range(0, len(pdf), 500):
-                    p = pdf.iloc[lo : lo + 500]
-                    yield pd.DataFrame({"a": p["a"], "b": p["b"], "similarity": _jaccard(p["text_a"], p["text_b"], shingle)})
-
-        return both.select("a", "b", "text_a", "text_b").mapInPandas(measure, "a long, b long, similarity double").where(F.col("similarity") >= threshold).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
-
-    lowest = entries.groupBy("key").agg(F.min(F.struct("n", "sketch", "n_shingles")).alias("m"), F.count("*").alias("size")).where("size > 1")
-    o = entries.join(lowest.select("key", F.col("m.n").alias("o"), F.col("m.sketch").alias("o_sketch"), F.col("m.n_shingles").alias("o_shingles")), "key")
-    star = o.where((F.col("n") > F.col("o")) & near & sized).select(F.col("o").alias("a"), F.col("n").alias("b")).distinct()
-    first = materialize(verified(star), "star_links")
-    grouped = connect(first)
-    placed = heads.select("n", "sketch", "n_shingles", "keys").join(grouped, F.col("n") == grouped["id"], "left").select("n", "sketch", "n_shingles", "keys", F.coalesce("component", "n").alias("g"))
+                for lo in range(0, len(pdf), 1000):
+                    p = pdf.iloc[lo : lo + 1000]
+                    sets = _shingle_sets(pd.concat([p["doc_a"], p["doc_b"]]), pd.concat([p["text_a"], p["text_b"]]), shingle)
+                    yield pd.DataFrame({"a": p["a"], "b": p["b"], "similarity": [_jaccard(sets[x], sets[y]) for x, y in zip(p["doc_a"], p["doc_b"])]})
+
+        measured = both.select("a", "b", "doc_a", "doc_b", "text_a", "text_b").mapInPandas(measure, "a long, b long, similarity double")
+        return materialize(measured.where(F.col("similarity") >= threshold).groupBy("a", "b").agg(F.max("similarity").alias("similarity")), name)
+
+    # buckets of one member, which nearly all are, end here; the entries are shuffled once for this
+    entries = heads.select(F.explode("keys").alias("key"), "n").repartition("key")
+    lowest = entries.groupBy("key").agg(F.min("n").alias("o"), F.count("*").alias("size")).where("size > 1")
+    shared = materialize(entries.join(lowest, "key"), "buckets")
+    star = shared.where("n > o").select(F.col("o").alias("a"), F.col("n").alias("b")).distinct()
+    first = verified(star, "star_links")
     # only buckets of more than two members can hold pairs that the star did not try
-    crowded = lowest.where("size > 2").select("key")
-    entry = placed.select("n", "sketch", "n_shingles", "g", F.explode("keys").alias("key")).join(crowded, "key", "left_semi")
-    other = entry.select("key", F.col("n").alias("o"), F.col("sketch").alias("o_sketch"), F.col("n_shingles").alias("o_shingles"), F.col("g").alias("o_g"))
-    rest = entry.join(other, "key").where((F.col("n") < F.col("o")) & (F.col("g") != F.col("o_g")) & near & sized).select(F.col("n").alias("a"), F.col("o").alias("b")).distinct()
-    second = materialize(verified(rest.join(star, ["a", "b"], "left_anti")), "links")
+    placed = shared.where("size > 2").join(connect(first), F.col("n") == F.col("id"), "left").select("key", "n", "o", F.coalesce("component", "n").alias("g"))
+    left, right = placed.select("key", F.col("n").alias("a"), F.col("g").alias("g_a"), "o"), placed.select("key", F.col("n").alias("b"), F.col("g").alias("g_b"))
+    rest = left.join(right, "key").where("a < b and g_a <> g_b and a <> o").select("a", "b").distinct()
+    second = verified(rest.join(star, ["a", "b"], "left_anti"), "links")
     links = first.unionByName(second)
     groups = connect(links)
     names = heads.select(F.col("n").alias("id"), F.col("doc").alias("class_id"))
