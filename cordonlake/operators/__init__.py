@@ -1,0 +1 @@
+"""Set-oriented operators: each takes and returns DataFrames."""

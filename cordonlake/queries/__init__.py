@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cordonlake.queries import tenants
+from cordonlake.queries import corpus, tenants
 
-MODULES = [tenants]
+MODULES = [tenants, corpus]
 
 
 def all_queries() -> dict:
