@@ -88,7 +88,7 @@ def contained(left: DataFrame, right: DataFrame, threshold: float = 0.8, shingle
     """
     a = left.select(F.col("doc_id").alias("a"), sampled_shingles(F.col("text"), shingle).alias("s")).where(F.size("s") > 0)
     b = right.select(F.col("doc_id").alias("b"), F.explode(sampled_shingles(F.col("text"), shingle)).alias("h"))
-    shared = a.select("a", F.size("s").alias("n"), F.explode("s").alias("h")).join(b, "h").where("a <> b").groupBy("a", "n", "b").agg(F.count("*").alias("both"))
+    shared = a.select("a", "s", F.size("s").alias("n")).select("a", "n", F.explode("s").alias("h")).join(b, "h").where("a <> b").groupBy("a", "n", "b").agg(F.count("*").alias("both"))
     best = shared.groupBy("a").agg(F.max("both").alias("most"))
     tied = shared.join(best, "a").where("both = most").groupBy("a", "n", "most").agg(F.min("b").alias("dropped_for"))
     return tied.select(F.col("a").alias("doc_id"), "dropped_for", F.round(F.col("most") / F.col("n"), 6).alias("containment")).where(F.col("containment") >= threshold)

@@ -40,10 +40,10 @@ CHUNKS = DOCS + r""",
                       least(512, len(t) - ordinal * 436) AS n_tokens, array_to_string(t[ordinal * 436 + 1 : ordinal * 436 + 512], ' ') AS body FROM win),
     kept AS (SELECT * FROM chunks WHERE length(body) >= 40)"""
 RUNS = DOCS + """,
-    b AS (SELECT doc_id, tenant, source, unnest(blocks) AS b, generate_subscripts(blocks, 1) - 1 AS at FROM docs),
-    m AS (SELECT *, CASE WHEN at = 0 OR b.section IS DISTINCT FROM lag(b.section) OVER w THEN 1 ELSE 0 END AS new, sum(b.len + 1) OVER w - b.len - 1 AS start FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY at)),
-    r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY at) AS run FROM m),
-    runs AS (SELECT doc_id, tenant, source, min(at) AS first_block, count(*) AS n_blocks, arg_min(b, at).section AS section, arg_min(b, at).page AS page, min(start)::BIGINT AS start,
+    b AS (SELECT doc_id, tenant, source, unnest(blocks) AS b, generate_subscripts(blocks, 1) - 1 AS pos FROM docs),
+    m AS (SELECT *, CASE WHEN pos = 0 OR b.section IS DISTINCT FROM lag(b.section) OVER w THEN 1 ELSE 0 END AS new, sum(b.len + 1) OVER w - b.len - 1 AS start FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+    r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM m),
+    runs AS (SELECT doc_id, tenant, source, min(pos) AS first_block, count(*) AS n_blocks, arg_min(b, pos).section AS section, arg_min(b, pos).page AS page, min(start)::BIGINT AS start,
                     (sum(b.len) + count(*) - 1)::BIGINT AS n_chars FROM r GROUP BY doc_id, tenant, source, run)"""
 
 
@@ -102,8 +102,8 @@ def boundary_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.withColumn("mid", starts_mid_sentence(before)).groupBy("source").agg(F.count("*").alias("n_runs"), F.count_if("mid").alias("n_mid_sentence"))
 
 
-@query(f"""WITH {DOCS}, b AS (SELECT doc_id, unnest(blocks) AS b, generate_subscripts(blocks, 1) AS at FROM docs),
-    s AS (SELECT doc_id, b.page AS page, b.section AS section, sum(b.len + 1) OVER (PARTITION BY doc_id ORDER BY at) AS fin, b.len AS len FROM b),
+@query(f"""WITH {DOCS}, b AS (SELECT doc_id, unnest(blocks) AS b, generate_subscripts(blocks, 1) AS pos FROM docs),
+    s AS (SELECT doc_id, b.page AS page, b.section AS section, sum(b.len + 1) OVER (PARTITION BY doc_id ORDER BY pos) AS fin, b.len AS len FROM b),
     p AS (SELECT doc_id, page, section, unnest(generate_series((ceil((fin - len - 1) / 3000.0) * 3000)::BIGINT, (floor((fin - 1) / 3000.0) * 3000)::BIGINT, 3000)) AS position FROM s WHERE ceil((fin - len - 1) / 3000.0) * 3000 < fin)
     SELECT doc_id, position, page, section FROM p""")
 def locate_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,7 +163,7 @@ def newest_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.newest(latest_fetches(spark, sf_dir), "cik", [F.col("filing_date").desc_nulls_last(), F.col("doc_id").desc()], 3).select("cik", "doc_id", "filing_date", "position")
 
 
-@query(f"""WITH {DOCS} SELECT source, doc_id, n_chars FROM (SELECT source, doc_id, length(coalesce(text, '')) AS n_chars, count(*) OVER (PARTITION BY source) AS n, row_number() OVER (PARTITION BY source ORDER BY length(coalesce(text, '')), doc_id) - 1 AS at FROM docs) WHERE at = n // 2""")
+@query(f"""WITH {DOCS} SELECT source, doc_id, n_chars FROM (SELECT source, doc_id, length(coalesce(text, '')) AS n_chars, count(*) OVER (PARTITION BY source) AS n, row_number() OVER (PARTITION BY source ORDER BY length(coalesce(text, '')), doc_id) - 1 AS pos FROM docs) WHERE pos = n // 2""")
 def median_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The document of middle length per source."""
     d = documents(spark, sf_dir)
@@ -210,11 +210,11 @@ def ingest_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.classify_changes(known, latest_fetches(spark, sf_dir), documents(spark, sf_dir)).groupBy("state").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {_LATEST} SELECT doc_id, checksum, normalised_checksum, updated_at FROM latest")
+@query(f"WITH {_LATEST} SELECT doc_id, checksum, normalised_checksum, epoch_us(updated_at) AS updated_us FROM latest")
 def ingest_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A merge of all fetches into an empty table: the latest version of each document."""
     m = table(spark, sf_dir, "fetch_manifest").select("doc_id", "checksum", "normalised_checksum", "updated_at")
-    return ingest.upsert(m.limit(0), m, "doc_id", "updated_at")
+    return ingest.upsert(m.limit(0), m, "doc_id", "updated_at").select("doc_id", "checksum", "normalised_checksum", F.unix_micros("updated_at").alias("updated_us"))
 
 
 @query(f"""WITH {CHUNKS}, s AS (SELECT doc_id FROM docs WHERE source = 'rfc')
