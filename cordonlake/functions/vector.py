@@ -21,4 +21,5 @@ def cosine(a: Column, b: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """The vector divided by its length; null for a zero vector."""
-    return F.when(norm(a) > 0, F.transform(a, lambda x: x.cast("double") / norm(a)))
+    # the length is bound once; inside the inner function it would be computed again for every element
+    return F.element_at(F.transform(F.array(norm(a)), lambda n: F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n))), 1)

@@ -5,17 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cordonlake.functions.vector import unit
 from cordonlake.session import bounded_pandas
 
 QUERY_ROWS = 20_000
 
 
 def usable(df: DataFrame, dim: int = 384) -> DataFrame:
-    """``id, tenant, v`` (unit length), one row per id: of repeated ids the first by tenant. Other vectors are left out."""
+    """``id, tenant, v``, one row per id: of repeated ids the first by tenant. Null, all-zero and other vectors are left out."""
     ok = df.where(F.col("id").isNotNull() & (F.size("embedding") == dim) & F.exists("embedding", lambda x: x != 0))
     one = ok.groupBy("id").agg(F.min(F.struct(F.col("tenant").cast("string").alias("tenant"), "embedding")).alias("r"))
-    return one.select("id", "r.tenant", unit(F.col("r.embedding")).alias("v"))
+    return one.select("id", "r.tenant", F.col("r.embedding").alias("v"))
 
 
 def similarities(queries: DataFrame, vectors: DataFrame, block: int = 500) -> DataFrame:
@@ -27,9 +26,13 @@ def similarities(queries: DataFrame, vectors: DataFrame, block: int = 500) -> Da
     import numpy as np
     import pandas as pd
 
+    def unit(column: pd.Series) -> np.ndarray:
+        v = np.stack(column.to_numpy()).astype(np.float64)
+        return v / np.linalg.norm(v, axis=1, keepdims=True)
+
     asked = bounded_pandas(queries.select("id", "v"), QUERY_ROWS, "query vectors")
     ids = asked["id"].to_numpy("int64")
-    matrix = np.stack(asked["v"].to_numpy()) if len(asked) else np.zeros((0, 1))
+    matrix = unit(asked["v"]) if len(asked) else np.zeros((0, 1))
     shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
 
     def score(batches):
@@ -37,7 +40,7 @@ def similarities(queries: DataFrame, vectors: DataFrame, block: int = 500) -> Da
         for pdf in batches:
             if not len(pdf) or not len(q_ids):
                 continue
-            v = np.stack(pdf["v"].to_numpy())
+            v = unit(pdf["v"])
             for lo in range(0, len(q_ids), block):
                 s = np.round(q[lo : lo + block] @ v.T, 6)
                 yield pd.DataFrame({

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cordonlake.queries import corpus, tenants
+from cordonlake.queries import corpus, retrieval, tenants
 
-MODULES = [tenants, corpus]
+MODULES = [tenants, corpus, retrieval]
 
 
 def all_queries() -> dict:
@@ -16,4 +16,4 @@ def all_oracles() -> dict:
 
 
 def flagship(spark, sf_dir):
-    return tenants.p5_found(spark, sf_dir)
+    return retrieval.lexical_topk_secure(spark, sf_dir)
