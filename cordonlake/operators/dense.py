@@ -17,11 +17,12 @@ def usable(df: DataFrame, dim: int = 384) -> DataFrame:
     return one.select("id", "r.tenant", F.col("r.embedding").alias("v"))
 
 
-def similarities(queries: DataFrame, vectors: DataFrame, block: int = 500) -> DataFrame:
+def similarities(queries: DataFrame, vectors: DataFrame, block: int = 500, best: int | None = None) -> DataFrame:
     """``query_id, id, tenant, score`` of every query against every vector; both from :func:`usable`.
 
     The query set (``QUERY_ROWS`` at most) is broadcast in blocks and multiplied with each batch of vectors where it is
-    read; scores are cosines rounded to 6 decimals. Callers rank at once, so a query's rows never gather.
+    read; scores are cosines rounded to 6 decimals. Callers rank at once, so a query's rows never gather. With ``best`` a
+    batch gives only what its ``best`` highest scores per query reach, ties included, which is all that a top-k needs.
     """
     import numpy as np
     import pandas as pd
@@ -43,6 +44,10 @@ def similarities(queries: DataFrame, vectors: DataFrame, block: int = 500) -> Da
             v = unit(pdf["v"])
             for lo in range(0, len(q_ids), block):
                 s = np.round(q[lo : lo + block] @ v.T, 6)
+                if best and s.shape[1] > best:
+                    row, col = np.nonzero(s >= np.partition(s, -best, axis=1)[:, -best, None])
+                    yield pd.DataFrame({"query_id": q_ids[lo + row], "id": pdf["id"].to_numpy()[col], "tenant": pdf["tenant"].to_numpy()[col], "score": s[row, col]})
+                    continue
                 yield pd.DataFrame({
                     "query_id": np.repeat(q_ids[lo : lo + block], len(v)), "id": np.tile(pdf["id"].to_numpy(), len(s)),
                     "tenant": np.tile(pdf["tenant"].to_numpy(), len(s)), "score": s.ravel(),
@@ -59,7 +64,7 @@ def ranked(scores: DataFrame, k: int, name: str = "rank") -> DataFrame:
 
 def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
     """``query_id, id, tenant, score, rank`` without the query itself."""
-    return ranked(similarities(queries, vectors).where("query_id <> id"), k)
+    return ranked(similarities(queries, vectors, best=k + 1).where("query_id <> id"), k)
 
 
 def postfilter_sweep(queries: DataFrame, vectors: DataFrame, acl: DataFrame, efs: list[int], k: int = 10) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cordonlake.queries import corpus, retrieval, tenants
+from cordonlake.queries import corpus, evaluation, retrieval, tenants
 
-MODULES = [tenants, corpus, retrieval]
+MODULES = [tenants, corpus, retrieval, evaluation]
 
 
 def all_queries() -> dict:
