@@ -30,7 +30,12 @@ def query(sql: str | None = None):
 VECTOR_TABLES = ("rls_demo", "pgvector_rls")
 
 
-@query()
+def _nearest_sql(tab: str) -> str:
+    return f"""v_{tab} AS (SELECT id::BIGINT AS id, any_value(embedding)::DOUBLE[384] AS e FROM {tab} WHERE len(embedding) = 384 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY id),
+        n_{tab} AS (SELECT '{tab}' AS tab, least(a, b) AS id_a, greatest(a, b) AS id_b FROM (SELECT a.id AS a, b.id AS b, row_number() OVER (PARTITION BY a.id ORDER BY round(array_cosine_similarity(a.e, b.e), 9) DESC, b.id) AS r FROM v_{tab} a JOIN v_{tab} b ON a.id <> b.id) WHERE r <= 5)"""
+
+
+@query(f"WITH {_nearest_sql('rls_demo')}, {_nearest_sql('pgvector_rls')} SELECT * FROM n_rls_demo UNION SELECT * FROM n_pgvector_rls")
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of ids of which one is among the 5 most similar of the other, in either table of chunks."""
     parts = []
@@ -44,7 +49,12 @@ def _parsed_groups(spark: SparkSession, sf_dir: str):
     return near_duplicates(table(spark, sf_dir, "parsed_docs"), threshold=0.55, shingle=3)
 
 
-@query()
+@query(r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(lower(any_value(text)), '[a-z0-9]+') AS w FROM parsed_docs GROUP BY doc_id),
+    s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)] WHEN len(w) > 0 THEN [array_to_string(w, ' ')] END) AS g FROM d),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    l AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL) JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE c >= 0.55 * (na.n + nb.n - c)),
+    e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+    SELECT DISTINCT a AS doc_id_a, b AS doc_id_b FROM r WHERE a < b""")
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of parsed documents in one group of near duplicates; the pairs are what is asked for, so groups expand here."""
     members, _ = _parsed_groups(spark, sf_dir)
@@ -61,7 +71,9 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.join(ends.groupBy("class_id").agg(F.count("*").alias("n_links")), "class_id", "left").select(F.col("doc").alias("doc_id"), "class_id", "group_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-@query()
+@query("""WITH d AS (SELECT doc_id, any_value(blocks) AS blocks FROM parsed_docs GROUP BY doc_id), b AS (SELECT doc_id, unnest(blocks) AS b, generate_subscripts(blocks, 1) - 1 AS pos FROM d),
+    m AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM (SELECT *, CASE WHEN pos = 0 OR b.section IS DISTINCT FROM lag(b.section) OVER (PARTITION BY doc_id ORDER BY pos) THEN 1 ELSE 0 END AS new FROM b))
+    SELECT doc_id, min(pos)::INTEGER AS first_block FROM m GROUP BY doc_id, run HAVING sum(b.len) + count(*) - 1 > 2000""")
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of blocks of one section that had to be cut."""
     pieces = split_items(table(spark, sf_dir, "parsed_docs"), only_oversized=True, with_text=False)
@@ -74,7 +86,9 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_items(table(spark, sf_dir, "parsed_docs")).dropDuplicates(["doc_id", "first_block", "piece"])
 
 
-@query()
+@query("""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents), i AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM eval_items),
+    dw AS (SELECT doc_id, unnest([md5(array_to_string(w[k : k + 11], ' ')) for k in range(1, len(w) - 10)]) AS g FROM d WHERE len(w) >= 12), iw AS (SELECT item_id, unnest([md5(array_to_string(w[k : k + 11], ' ')) for k in range(1, len(w) - 10)]) AS g FROM i WHERE len(w) >= 12)
+    SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (g)""")
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and the items of which they hold at least 12 words in a row."""
     hits = leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
