@@ -1,0 +1,43 @@
+"""Physical plans as data: their operators, a fingerprint of plan and settings, and rules a plan must keep."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+
+from pyspark.sql import DataFrame
+
+SETTINGS = ["spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled"]
+UNBOUNDED = ["CartesianProduct", "BroadcastNestedLoopJoin"]
+
+
+class PlanMismatch(AssertionError):
+    """A plan lacks an operator that it must have, or has one that it must not have."""
+
+
+def operators(df: DataFrame) -> list[str]:
+    """Names of the operators of the physical plan, from the top."""
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return [m for line in text.split("\n") if (m := re.sub(r"^[\s+:|*\-()\d]*", "", line).split(" ")[0].split("(")[0])]
+
+
+def fingerprint(df: DataFrame) -> str:
+    """MD5 of the plan without the numbers of its columns and files, and of the settings that shape it."""
+    text = re.sub(r"#\d+L?|\[id=#?\d+\]|plan_id=\d+|file:[^\s,\]]+", "", df._jdf.queryExecution().executedPlan().toString())
+    conf = [f"{k}={df.sparkSession.conf.get(k, '')}" for k in SETTINGS]
+    return hashlib.md5("\n".join([text, *conf]).encode()).hexdigest()
+
+
+def require(df: DataFrame, has: list[str] = (), lacks: list[str] = ()) -> DataFrame:
+    """``df``, if its plan has all of ``has`` and none of ``lacks``."""
+    found = operators(df)
+    if missing := [x for x in has if x not in found]:
+        raise PlanMismatch(f"the plan has no {', '.join(missing)}: {' '.join(found)}")
+    if bad := [x for x in lacks if x in found]:
+        raise PlanMismatch(f"the plan has {', '.join(bad)}: {' '.join(found)}")
+    return df
+
+
+def pushed_filters(df: DataFrame) -> str:
+    """The filters that the scans of the plan push into the files."""
+    return " ".join(re.findall(r"(?:PushedFilters|PartitionFilters): \[[^\]]*\]", df._jdf.queryExecution().executedPlan().toString()))
