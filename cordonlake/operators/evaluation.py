@@ -56,7 +56,7 @@ def bootstrap(values: DataFrame, resamples: int = 1000, level: float = 0.95) ->
     # Poisson(1) by its cumulative probabilities
     bounds = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
     times = sum(((u >= b).cast("int") for b in bounds[1:]), (u >= bounds[0]).cast("int"))
-    means = draws.withColumn("t", times).groupBy("metric", "r").agg((F.sum(F.col("value") * F.col("t")) / F.sum("t")).alias("m")).where("m is not null")
+    means = draws.withColumn("t", times).groupBy("metric", "r").agg(F.try_divide(F.sum(F.col("value") * F.col("t")), F.sum("t")).alias("m")).where("m is not null")
     order = Window.partitionBy("metric").orderBy("m", "r")
     tail = (1 - level) / 2
     placed = means.withColumn("i", F.row_number().over(order) - 1).withColumn("c", F.count("*").over(Window.partitionBy("metric")))
