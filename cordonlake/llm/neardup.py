@@ -236,16 +236,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         measured = both.select("a", "b", "doc_a", "doc_b", "text_a", "text_b").mapInPandas(measure, "a long, b long, similarity double")
         return materialize(measured.where(F.col("similarity") >= threshold).groupBy("a", "b").agg(F.max("similarity").alias("similarity")), name)
 
-    # buckets of one member, which nearly all are, end here; the entries are shuffled once for this
-    entries = heads.select(F.explode("keys").alias("key"), "n").repartition("key")
+    # buckets of one member, which nearly all are, end here; counts are combined before the shuffle, and a bucket that a
+    # large group shares is split by the join, whose other side has one row for it
+    entries = heads.select(F.explode("keys").alias("key"), "n")
     lowest = entries.groupBy("key").agg(F.min("n").alias("o"), F.count("*").alias("size")).where("size > 1")
     shared = materialize(entries.join(lowest, "key"), "buckets")
     star = shared.where("n > o").select(F.col("o").alias("a"), F.col("n").alias("b")).distinct()
     first = verified(star, "star_links")
-    # only buckets of more than two members can hold pairs that the star did not try
-    placed = shared.where("size > 2").join(connect(first), F.col("n") == F.col("id"), "left").select("key", "n", "o", F.coalesce("component", "n").alias("g"))
-    left, right = placed.select("key", F.col("n").alias("a"), F.col("g").alias("g_a"), "o"), placed.select("key", F.col("n").alias("b"), F.col("g").alias("g_b"))
-    rest = left.join(right, "key").where("a < b and g_a <> g_b and a <> o").select("a", "b").distinct()
+    # buckets of more than two members can hold links between groups that the star did not try: all members outside the
+    # bucket's largest group are paired with every member of another group, so a large group is not paired with itself
+    placed = shared.where("size > 2").join(connect(first), F.col("n") == F.col("id"), "left").select("key", "n", F.coalesce("component", "n").alias("g"))
+    largest = placed.groupBy("key", "g").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "g")).alias("m"), F.count("*").alias("groups"))
+    outside = placed.join(largest.where("groups > 1"), "key").where(F.col("g") != F.col("m.g")).select("key", "n", "g")
+    other = placed.select("key", F.col("n").alias("m"), F.col("g").alias("g_m"))
+    rest = outside.join(other, "key").where("g <> g_m").select(F.least("n", "m").alias("a"), F.greatest("n", "m").alias("b")).distinct()
     second = verified(rest.join(star, ["a", "b"], "left_anti"), "links")
     links = first.unionByName(second)
     groups = connect(links)
