@@ -89,8 +89,14 @@ def sanitise(text: Column) -> tuple[Column, dict[str, Column]]:
     return text, counts
 
 
+# The delimiters around a passage, what in a body looks like one, and what looks like a passage's header.
+PASSAGE_BEGIN, PASSAGE_END = "<<<PASSAGE {id} page {page}>>>", "<<<END PASSAGE>>>"
+FORGED_DELIMITER = r"(?i)<<<\s*(?:/?end\s+)?passage\b[^>]*>>>"
+FORGED_HEADER = r"(?im)^[ \t]*\[[^\]\n]{1,120}\][ \t]*\(page[ \t]+[0-9]+\)[ \t]*$"
+
+
 def fence(passage_id: Column, page: Column, body: Column) -> Column:
     """The body between delimiters, which it cannot forge: delimiters and header lines in it are replaced."""
-    safe = F.regexp_replace(body, r"(?i)<<<\s*(?:/?end\s+)?passage\b[^>]*>>>", "[delimiter removed]")
-    safe = F.regexp_replace(safe, r"(?im)^[ \t]*\[[^\]\n]{1,120}\][ \t]*\(page[ \t]+[0-9]+\)[ \t]*$", "[header removed]")
-    return F.concat(F.lit("<<<PASSAGE "), passage_id, F.lit(" page "), F.coalesce(page.cast("string"), F.lit("?")), F.lit(">>>\n"), safe, F.lit("\n<<<END PASSAGE>>>"))
+    safe = F.regexp_replace(F.regexp_replace(body, FORGED_DELIMITER, "[delimiter removed]"), FORGED_HEADER, "[header removed]")
+    before, between = PASSAGE_BEGIN.split("{id}")[0], PASSAGE_BEGIN.split("{id}")[1].split("{page}")[0]
+    return F.concat(F.lit(before), passage_id, F.lit(between), F.coalesce(page.cast("string"), F.lit("?")), F.lit(">>>\n"), safe, F.lit("\n" + PASSAGE_END))
