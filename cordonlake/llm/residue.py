@@ -235,11 +235,12 @@ class ResidueModel:
         })
 
 
-def residue(df: DataFrame, id_col: str, text_col: str, host_col: str, sample_rows: int = 4000, seed: int = 3) -> DataFrame:
+def residue(df: DataFrame, id_col: str, text_col: str, host_col: str, sample_rows: int = 4000, sample_chars: int = 50_000, seed: int = 3) -> DataFrame:
     """``id, placeholders, fillers, notice_share, is_residue`` of every row with a text that is not blank.
 
     The classifiers are fitted on at most ``sample_rows`` rows, taken by a hash of the id; rows whose text one of the weak
-    phrases marks are taken five times as often. They are applied to every row's whole text, where it is read.
+    phrases marks are taken five times as often, rows over ``sample_chars`` characters are not. They are applied to every
+    row's whole text, where it is read.
 
     Args:
         df: other columns are ignored. Rows with a null id, a null or a blank text give no row; ``host_col`` may be null.
@@ -254,7 +255,7 @@ def residue(df: DataFrame, id_col: str, text_col: str, host_col: str, sample_row
     draw = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(seed)), F.lit(1_000_000))
     hint = F.col("text").rlike("(?im)" + _NOTICE.pattern) | F.col("text").rlike("(?is)" + _FILLER.pattern) | F.col("text").rlike(r"(?i)\{\{|<%|\[(?:insert|tbd)|todo:|%%|__[a-z]|_here>|\{0\}|\$\{|\[[●•]")
     base = int(700_000 * sample_rows / total)
-    sample = rows.where((draw < base) | ((draw < 5 * base) & hint)).orderBy(draw, "id").limit(sample_rows).toPandas()
+    sample = rows.where(F.length("text") <= sample_chars).where((draw < base) | ((draw < 5 * base) & hint)).orderBy(draw, "id").limit(sample_rows).toPandas()
     shared = spark.sparkContext.broadcast(ResidueModel(sample))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
