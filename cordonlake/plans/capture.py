@@ -24,7 +24,7 @@ def operators(df: DataFrame) -> list[str]:
 def fingerprint(df: DataFrame) -> str:
     """MD5 of the plan without the numbers of its columns and files, and of the settings that shape it."""
     text = re.sub(r"#\d+L?|\[id=#?\d+\]|plan_id=\d+|file:[^\s,\]]+", "", df._jdf.queryExecution().executedPlan().toString())
-    conf = [f"{k}={df.sparkSession.conf.get(k, '')}" for k in SETTINGS]
+    conf = [f"{k}={df.sparkSession.conf.get(k)}" for k in SETTINGS]
     return hashlib.md5("\n".join([text, *conf]).encode()).hexdigest()
 
 
