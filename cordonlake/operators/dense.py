@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cordonlake.session import bounded_pandas
 
-QUERY_ROWS = 20_000
+QUERY_ROWS = 10_000
 
 
 def usable(df: DataFrame, dim: int = 384) -> DataFrame:
@@ -20,8 +20,7 @@ def usable(df: DataFrame, dim: int = 384) -> DataFrame:
 def similarities(queries: DataFrame, vectors: DataFrame, block: int = 500, best: int | None = None) -> DataFrame:
     """``query_id, id, tenant, score`` of every query against every vector; both from :func:`usable`.
 
-    The query set (``QUERY_ROWS`` at most) is broadcast in blocks and multiplied with each batch of vectors where it is
-    read; scores are cosines rounded to 6 decimals. Callers rank at once, so a query's rows never gather. With ``best`` a
+    The query set is broadcast in parts of about ``QUERY_ROWS`` and multiplied with each batch of vectors where it is read; scores are cosines rounded to 6 decimals. Callers rank at once, so a query's rows never gather. With ``best`` a
     batch gives only what its ``best`` highest scores per query reach, ties included, which is all that a top-k needs.
     """
     import numpy as np
@@ -31,12 +30,7 @@ def similarities(queries: DataFrame, vectors: DataFrame, block: int = 500, best:
         v = np.stack(column.to_numpy()).astype(np.float64)
         return v / np.linalg.norm(v, axis=1, keepdims=True)
 
-    asked = bounded_pandas(queries.select("id", "v"), QUERY_ROWS, "query vectors")
-    ids = asked["id"].to_numpy("int64")
-    matrix = unit(asked["v"]) if len(asked) else np.zeros((0, 1))
-    shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
-
-    def score(batches):
+    def score(batches, shared):
         q_ids, q = shared.value
         for pdf in batches:
             if not len(pdf) or not len(q_ids):
@@ -53,7 +47,15 @@ def similarities(queries: DataFrame, vectors: DataFrame, block: int = 500, best:
                     "tenant": np.tile(pdf["tenant"].to_numpy(), len(s)), "score": s.ravel(),
                 })
 
-    return vectors.select("id", "tenant", "v").mapInPandas(score, "query_id long, id long, tenant string, score double")
+    parts = max(1, -(-queries.count() // QUERY_ROWS))
+    out = None
+    for part in range(parts):
+        asked = bounded_pandas(queries.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part).select("id", "v"), 2 * QUERY_ROWS, "query vectors of one part")
+        matrix = unit(asked["v"]) if len(asked) else np.zeros((0, 1))
+        shared = vectors.sparkSession.sparkContext.broadcast((asked["id"].to_numpy("int64"), matrix))
+        scored = vectors.select("id", "tenant", "v").mapInPandas(lambda batches, shared=shared: score(batches, shared), "query_id long, id long, tenant string, score double")
+        out = scored if out is None else out.unionByName(scored)
+    return out
 
 
 def ranked(scores: DataFrame, k: int, name: str = "rank") -> DataFrame:
