@@ -170,7 +170,7 @@ def connect(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, shingle: int = 5,
-                    segments: int = 12, sketch_errors: int = 24, broadcast_rows: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+                    segments: int = 12, sketch_errors: int = 24, broadcast_rows: int = 1_000_000, all_links: bool = False, salt_rows: int = 500) -> tuple[DataFrame, DataFrame]:
     """Groups of texts whose shingle sets share at least ``threshold``, directly or through others.
 
     Method: a fingerprint of ``segments`` words of 23 bits, one bit of a min-hash each, so that two texts of similarity s
@@ -183,6 +183,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Buckets are first linked to their smallest member and verified, which takes one pair per member; only members that
     this leaves in different groups are then paired, so a large group of near copies never expands into all its pairs.
+    That is enough for the groups, but leaves out links within a group. With ``all_links`` every pair of classes that meets
+    in a bucket is verified instead; buckets of more than ``salt_rows`` members are split over several tasks.
 
     Args:
         df: repeated ids count once (of differing texts the one of the smallest content key). Further columns are ignored.
@@ -190,7 +192,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Returns:
         ``(doc, class_id, group_id)`` with one row per document that has words; ``(a, b, similarity)``, verified links
-        between classes. ``class_id`` and ``group_id`` are smallest ids. An empty input gives no rows.
+        between classes, enough of them to give the groups, or all with ``all_links``. ``class_id`` and ``group_id`` are smallest ids. An empty input gives no rows.
     """
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -241,17 +243,24 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     entries = heads.select(F.explode("keys").alias("key"), "n")
     lowest = entries.groupBy("key").agg(F.min("n").alias("o"), F.count("*").alias("size")).where("size > 1")
     shared = materialize(entries.join(lowest, "key"), "buckets")
-    star = shared.where("n > o").select(F.col("o").alias("a"), F.col("n").alias("b")).distinct()
-    first = verified(star, "star_links")
-    # buckets of more than two members can hold links between groups that the star did not try: all members outside the
-    # bucket's largest group are paired with every member of another group, so a large group is not paired with itself
-    placed = shared.where("size > 2").join(connect(first), F.col("n") == F.col("id"), "left").select("key", "n", F.coalesce("component", "n").alias("g"))
-    largest = placed.groupBy("key", "g").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "g")).alias("m"), F.count("*").alias("groups"))
-    outside = placed.join(largest.where("groups > 1"), "key").where(F.col("g") != F.col("m.g")).select("key", "n", "g")
-    other = placed.select("key", F.col("n").alias("m"), F.col("g").alias("g_m"))
-    rest = outside.join(other, "key").where("g <> g_m").select(F.least("n", "m").alias("a"), F.greatest("n", "m").alias("b")).distinct()
-    second = verified(rest.join(star, ["a", "b"], "left_anti"), "links")
-    links = first.unionByName(second)
+    if all_links:
+        far = heads.select("n", "sketch", F.col("n_shingles").alias("size_n"))
+        salted = shared.join(far, "n").withColumn("salts", F.ceil(F.col("size") / salt_rows).cast("int"))
+        one = salted.select("key", F.pmod(F.xxhash64("n"), "salts").cast("int").alias("salt"), F.col("n").alias("a"), F.col("sketch").alias("sketch_a"), F.col("size_n").alias("size_a"))
+        every = salted.select("key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("n").alias("b"), F.col("sketch").alias("sketch_b"), F.col("size_n").alias("size_b"))
+        links = verified(one.join(every, ["key", "salt"]).where("a < b").where(near & sized).select("a", "b").distinct(), "all_links")
+    else:
+        star = shared.where("n > o").select(F.col("o").alias("a"), F.col("n").alias("b")).distinct()
+        first = verified(star, "star_links")
+        # buckets of more than two members can hold links between groups that the star did not try: all members outside the
+        # bucket's largest group are paired with every member of another group, so a large group is not paired with itself
+        placed = shared.where("size > 2").join(connect(first), F.col("n") == F.col("id"), "left").select("key", "n", F.coalesce("component", "n").alias("g"))
+        largest = placed.groupBy("key", "g").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "g")).alias("m"), F.count("*").alias("groups"))
+        outside = placed.join(largest.where("groups > 1"), "key").where(F.col("g") != F.col("m.g")).select("key", "n", "g")
+        other = placed.select("key", F.col("n").alias("m"), F.col("g").alias("g_m"))
+        rest = outside.join(other, "key").where("g <> g_m").select(F.least("n", "m").alias("a"), F.greatest("n", "m").alias("b")).distinct()
+        second = verified(rest.join(star, ["a", "b"], "left_anti"), "links")
+        links = first.unionByName(second)
     groups = connect(links)
     names = heads.select(F.col("n").alias("id"), F.col("doc").alias("class_id"))
     by_number = names.join(groups, "id").select("class_id", "component")

@@ -45,8 +45,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).distinct()
 
 
-def _parsed_groups(spark: SparkSession, sf_dir: str):
-    return near_duplicates(table(spark, sf_dir, "parsed_docs"), threshold=0.55, shingle=3)
+def _parsed_groups(spark: SparkSession, sf_dir: str, all_links: bool = False):
+    return near_duplicates(table(spark, sf_dir, "parsed_docs"), threshold=0.55, shingle=3, all_links=all_links)
 
 
 @query(r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(lower(any_value(text)), '[a-z0-9]+') AS w FROM parsed_docs GROUP BY doc_id),
@@ -66,7 +66,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every parsed document with its class of equal texts, its group and the number of links of its class."""
-    members, links = _parsed_groups(spark, sf_dir)
+    members, links = _parsed_groups(spark, sf_dir, all_links=True)
     ends = links.select(F.col("a").alias("class_id")).unionAll(links.select(F.col("b").alias("class_id")))
     return members.join(ends.groupBy("class_id").agg(F.count("*").alias("n_links")), "class_id", "left").select(F.col("doc").alias("doc_id"), "class_id", "group_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 

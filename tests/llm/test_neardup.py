@@ -63,6 +63,18 @@ def test_groups_match_brute_force(spark):
     assert sum(r["a"].startswith("hot") for r in found) < 60 * 59 / 2 / 4  # the large group does not expand into its pairs
 
 
+def test_all_links_of_a_hot_group(spark):
+    rng = random.Random(6)
+    docs = {"hot%03d" % i: edited(rng, [f"h{j}" for j in range(300)], 0.004) for i in range(40)} | {"other": "quite another text of its own"}
+    s = {d: shingles(t, 3) for d, t in docs.items()}
+    df = spark.createDataFrame([(d, t, "", "", 1, "", 1) for d, t in docs.items()], SCHEMA)
+    members, links = near_duplicates(df, threshold=0.7, shingle=3, all_links=True, salt_rows=7)
+    heads = sorted({r["class_id"] for r in members.collect()})
+    true = {(a, b) for i, a in enumerate(heads) for b in heads[i + 1 :] if len(s[a] & s[b]) >= 0.7 * len(s[a] | s[b])}
+    assert {(r["a"], r["b"]) for r in links.collect()} == true and len(true) > 400
+    assert {r["doc"]: r["group_id"] for r in members.collect()} == brute(docs, 3, 0.7)
+
+
 def test_empty(spark):
     members, links = near_duplicates(spark.createDataFrame([], SCHEMA))
     assert members.collect() == [] and links.collect() == []
