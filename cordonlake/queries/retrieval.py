@@ -11,6 +11,7 @@ from cordonlake.session import table
 
 QUERIES, ORACLE = {}, {}
 EFS = [40, 100, 200]
+ALL_EFS = [40, 100, 200, 400, 800]  # the whole sweep, in the queries named _full
 
 
 def query(sql: str | None = None):
@@ -188,9 +189,9 @@ _SWEEP = _VEC + """,
         LEFT JOIN h ON h.role_name = s.role_name AND h.query_id = s.query_id AND h.ef = efs.ef)"""
 
 
-def _sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _sweep(spark: SparkSession, sf_dir: str, efs: list[int] = EFS) -> DataFrame:
     v = _vectors(spark, sf_dir)
-    return dense.postfilter_sweep(v.where("id % 100 = 0"), v, acl(spark, sf_dir), EFS)
+    return dense.postfilter_sweep(v.where("id % 100 = 0"), v, acl(spark, sf_dir), efs)
 
 
 @query(f"WITH {_SWEEP} SELECT role_name, ef, round(sum(n_hit) / sum(n_exact), 6) AS recall, count_if(n_returned = 0) AS n_empty FROM sweep GROUP BY role_name, ef")
@@ -202,18 +203,47 @@ def postfilter_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_SWEEP} SELECT role_name, query_id, min(CASE WHEN n_returned >= 10 THEN ef END) IS NOT NULL AS filled, coalesce(min(CASE WHEN n_returned >= 10 THEN ef END), max(ef))::INTEGER AS ef FROM sweep GROUP BY role_name, query_id")
 def iterative_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far a widening scan has to go until a role gets ten chunks."""
-    return dense.widening_scan(_sweep(spark, sf_dir)).select("role_name", "query_id", (F.col("n_returned") >= 10).alias("filled"), "ef")
+    return _scan(_sweep(spark, sf_dir))
+
+
+def _scan(sweep: DataFrame) -> DataFrame:
+    return dense.widening_scan(sweep).select("role_name", "query_id", (F.col("n_returned") >= 10).alias("filled"), "ef")
 
 
 @query(f"""WITH {_SWEEP}, own AS (SELECT DISTINCT role_name, v.id AS query_id FROM v JOIN roles USING (tenant))
     SELECT ef, own.query_id IS NOT NULL AS on_topic, count(*) AS n, round(avg(n_hit / n_exact), 6) AS recall, round(avg(n_returned), 6) AS returned FROM sweep LEFT JOIN own ON own.role_name = sweep.role_name AND own.query_id = sweep.query_id GROUP BY ALL""")
 def postfilter_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same averaged over queries whose own tenant the role may read, and the others."""
+    return _slices(spark, sf_dir, EFS)
+
+
+def _slices(spark: SparkSession, sf_dir: str, efs: list[int]) -> DataFrame:
     own = _vectors(spark, sf_dir).select(F.col("id").alias("query_id"), "tenant").join(acl(spark, sf_dir).distinct(), "tenant").select("role_name", "query_id").distinct()
-    sliced = _sweep(spark, sf_dir).join(own.withColumn("on_topic", F.lit(True)), ["role_name", "query_id"], "left").fillna(False, ["on_topic"])
+    sliced = _sweep(spark, sf_dir, efs).join(own.withColumn("on_topic", F.lit(True)), ["role_name", "query_id"], "left").fillna(False, ["on_topic"])
     return sliced.groupBy("ef", "on_topic").agg(F.count("*").alias("n"), F.round(F.avg(F.col("n_hit") / F.col("n_exact")), 6).alias("recall"), F.round(F.avg("n_returned"), 6).alias("returned"))
 
 
+_FULL = _SWEEP.replace("[40, 100, 200]", str(ALL_EFS))
+
+
+@query(ORACLE["postfilter_sweep"].replace(_SWEEP, _FULL))
+def postfilter_sweep_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`postfilter_sweep` at all five widths, up to 800."""
+    return dense.recall_by_role(_sweep(spark, sf_dir, ALL_EFS))
+
+
+@query(ORACLE["iterative_scan"].replace(_SWEEP, _FULL))
+def iterative_scan_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`iterative_scan` up to 800."""
+    return _scan(_sweep(spark, sf_dir, ALL_EFS))
+
+
+@query(ORACLE["postfilter_slices"].replace(_SWEEP, _FULL))
+def postfilter_slices_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`postfilter_slices` at all five widths, up to 800."""
+    return _slices(spark, sf_dir, ALL_EFS)
+
+
 def _dense_by_question(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks most similar to the first source chunk of a question, which stands for the question's own vector."""
     rows = table(spark, sf_dir, "rls_demo")
