@@ -38,14 +38,15 @@ def collapsed(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
 
 
-def sampled_shingles(text: Column, n: int = 5, digit: str = "0") -> Column:
-    """MD5 of the distinct sequences of ``n`` words whose first hexadecimal digit is ``digit``: one in sixteen."""
+def sampled_shingles(text: Column, n: int = 5, digit: str | None = "0") -> Column:
+    """MD5 of the distinct sequences of ``n`` words whose first hexadecimal digit is ``digit``: one in sixteen; all without one."""
     # the words are bound once; inside the inner function they would be split again for every sequence
     grams = F.transform(
         F.array(F.split(plain(text), " ")),
         lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.md5(F.concat_ws(" ", F.slice(w, i, n))))),
     )
-    return F.array_distinct(F.filter(F.element_at(grams, 1), lambda h: F.substring(h, 1, 1) == digit))
+    every = F.element_at(grams, 1)
+    return F.array_distinct(F.filter(every, lambda h: F.substring(h, 1, 1) == digit) if digit else every)
 
 
 def slug(text: Column, longest: int = 60) -> Column:

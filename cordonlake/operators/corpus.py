@@ -80,14 +80,15 @@ def duplicates_by_checksum(docs: DataFrame) -> DataFrame:
     return sums.join(keepers, "c").where("doc_id <> dropped_for").select("doc_id", "dropped_for")
 
 
-def contained(left: DataFrame, right: DataFrame, threshold: float = 0.8, shingle: int = 5) -> DataFrame:
+def contained(left: DataFrame, right: DataFrame, threshold: float = 0.8, shingle: int = 5, sample: bool = False) -> DataFrame:
     """``doc_id, dropped_for, containment``: documents of ``left`` whose shingles are largely in one of ``right``.
 
-    Containment is measured on one shingle in sixteen, chosen by its hash. The best document is taken, ties to the
+    Containment is measured on all distinct shingles, with ``sample`` on one in sixteen, chosen by its hash. The best document is taken, ties to the
     smaller id. A shingle of many documents only meets those of the other side; pairs are counted before they are named.
     """
-    a = left.select(F.col("doc_id").alias("a"), sampled_shingles(F.col("text"), shingle).alias("s")).where(F.size("s") > 0)
-    b = right.select(F.col("doc_id").alias("b"), F.explode(sampled_shingles(F.col("text"), shingle)).alias("h"))
+    digit = "0" if sample else None
+    a = left.select(F.col("doc_id").alias("a"), sampled_shingles(F.col("text"), shingle, digit).alias("s")).where(F.size("s") > 0)
+    b = right.select(F.col("doc_id").alias("b"), F.explode(sampled_shingles(F.col("text"), shingle, digit)).alias("h"))
     shared = a.select("a", "s", F.size("s").alias("n")).select("a", "n", F.explode("s").alias("h")).join(b, "h").where("a <> b").groupBy("a", "n", "b").agg(F.count("*").alias("both"))
     best = shared.groupBy("a").agg(F.max("both").alias("most"))
     tied = shared.join(best, "a").where("both = most").groupBy("a", "n", "most").agg(F.min("b").alias("dropped_for"))

@@ -137,6 +137,13 @@ _SHINGLES = r"""list_distinct(list_filter([md5(array_to_string(w[i : i + 4], ' '
 def dedup_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contracts, and the filing or specification that holds most of them; 0.02 keeps weak overlaps, which is what there is."""
     d = documents(spark, sf_dir).where("text is not null")
+    return corpus.contained(d.where("source = 'cuad'"), d.where("source <> 'cuad'"), 0.02, sample=True)
+
+
+@query(ORACLE["dedup_containment"].replace(_SHINGLES, "list_distinct([md5(array_to_string(w[i : i + 4], ' ')) for i in range(1, len(w) - 3)])"))
+def dedup_containment_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`dedup_containment` on all shingles, not on a sample."""
+    d = documents(spark, sf_dir).where("text is not null")
     return corpus.contained(d.where("source = 'cuad'"), d.where("source <> 'cuad'"), 0.02)
 
 
