@@ -100,6 +100,70 @@ class ItemIndex:
         return shared / (weigh(sets[0]) + weigh(sets[1]) - shared)
 
 
+class WholeItems:
+    """Items as whole windows, found with up to ``(1 - near)`` of their words changed, left out or put in.
+
+    An item of n words within e such edits keeps at least n - 2 - 3e of its three-word sequences, within n + e words of the
+    document. Places with as many are aligned word by word. Items too short to keep one are left to the other windows.
+    """
+
+    def __init__(self, ids: np.ndarray, texts: pd.Series, near: float):
+        self.words, self.offsets = word_hashes(texts)
+        self.ids, self.near = ids, near
+        self.n = np.diff(self.offsets)
+        self.edits = ((1 - near) * self.n + 1e-9).astype(np.int64)
+        self.least = self.n - 2 - 3 * self.edits
+        seeds, at, item = self._seeds(self.words, self.offsets)
+        use = self.least[item] >= 1
+        order = np.argsort(seeds[use], kind="stable")
+        self.seeds, self.at, self.item = seeds[use][order], (at - self.offsets[item])[use][order], item[use][order]
+
+    @staticmethod
+    def _seeds(words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        with np.errstate(over="ignore"):
+            at, text = _windows(words, offsets, 3)
+            return (mix64(mix64(words[at] * np.uint64(3)) ^ (words[at + 1] * np.uint64(5))) ^ mix64(words[at + 2] * np.uint64(7)) if len(at) else np.zeros(0, np.uint64)), at, text
+
+    def _distance(self, item: int, part: np.ndarray) -> int:
+        """Least edits between the item and any stretch of ``part``."""
+        place = np.arange(len(part) + 1)
+        row = np.zeros(len(part) + 1, np.int64)
+        for w in self.words[self.offsets[item] : self.offsets[item + 1]]:
+            new = row + 1
+            new[1:] = np.minimum(new[1:], row[:-1] + (part != w))
+            row = np.minimum.accumulate(new - place) + place
+        return int(row.min())
+
+    def find(self, words: np.ndarray, offsets: np.ndarray) -> dict[tuple[int, int], float]:
+        """Best similarity, 1 - edits / words, by (text, item)."""
+        seeds, at, text = self._seeds(words, offsets)
+        lo = np.searchsorted(self.seeds, seeds)
+        n = np.searchsorted(self.seeds, seeds, side="right") - lo
+        who = np.repeat(np.arange(len(seeds)), n)
+        what = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        item, pos, doc = self.item[what], at[who], text[who]
+        order = np.lexsort((pos, item, doc))
+        item, pos, doc, inside = item[order], pos[order], doc[order], self.at[what][order]
+        # positions grow with the text, so an item and a position tell the place; hits are counted from each place on
+        group = np.cumsum(np.diff(doc, prepend=-1).astype(bool) | np.diff(item, prepend=-1).astype(bool)) if len(item) else item
+        line = group * (2 * len(words) + 2) + pos
+        until = np.searchsorted(line, group * (2 * len(words) + 2) + np.minimum(pos + self.n[item] + self.edits[item], offsets[doc + 1]), side="right")
+        enough = np.flatnonzero(until - np.arange(len(line)) >= self.least[item])
+        best: dict[tuple[int, int], float] = {}
+        tried = set()
+        for i in enough:
+            d, it = int(doc[i]), int(item[i])
+            start = int(pos[i] - inside[i])
+            if best.get((d, it)) == 1.0 or (d, it, start) in tried:
+                continue
+            tried.add((d, it, start))
+            e = int(self.edits[it])
+            near = 1 - self._distance(it, words[max(offsets[d], start - e) : min(offsets[d + 1], start + self.n[it] + 2 * e)]) / self.n[it]
+            if near >= self.near - 1e-9 and near > best.get((d, it), 0):
+                best[d, it] = float(near)
+        return best
+
+
 def _doc_hits(index: ItemIndex, words: np.ndarray, who: np.ndarray, what: np.ndarray, near: float) -> list[tuple]:
     """One row per item that a document gives away; ``who`` are word positions, ``what`` item windows."""
     rows = []
@@ -129,7 +193,7 @@ def _doc_hits(index: ItemIndex, words: np.ndarray, who: np.ndarray, what: np.nda
     return rows
 
 
-def leaked_items(docs: DataFrame, items: DataFrame, window: int = 12, radius: int = 3, near: float = 0.8, block_words: int = 2_000_000) -> DataFrame:
+def leaked_items(docs: DataFrame, items: DataFrame, window: int = 12, radius: int = 3, near: float = 0.8, block_words: int = 2_000_000, whole: float | None = None) -> DataFrame:
     """Documents that hold passages of items, whole, in part or slightly changed.
 
     Method: the unit of an item is its window of ``window`` words (a shorter item is one whole window of its own length,
@@ -137,6 +201,10 @@ def leaked_items(docs: DataFrame, items: DataFrame, window: int = 12, radius: in
     all item windows within ``radius`` (3 at most) bits, so equal windows are always found. Candidates are verified word by
     word and, where they are not equal, by the weighted share of their two-word sequences, ``near`` at least.
 
+    A passage with changes closer together than a window escapes that. With ``whole``, such as 0.8, items are also looked
+    for as :class:`WholeItems`, that many of their words in order; an item found by this alone has ``windows`` 1,
+    ``run`` 0, and this share as ``covered`` and ``similarity``.
+
     The items are a stated query set: they are read in blocks of about ``block_words`` words, each block is broadcast, and
     every document is scanned once per block where it is read. Nothing is shuffled.
 
@@ -161,7 +229,8 @@ def leaked_items(docs: DataFrame, items: DataFrame, window: int = 12, radius: in
         block = clean.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).toPandas()
         block["size"] = np.minimum(block["n"], window)
         indexes = [ItemIndex(g["item_id"].to_numpy(), g["text"], int(size)) for size, g in block.groupby("size")]
-        shared = spark.sparkContext.broadcast(indexes)
+        entire = WholeItems(block["item_id"].to_numpy(), block["text"], whole) if whole and len(block) else None
+        shared = spark.sparkContext.broadcast((indexes, entire))
 
         def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             for pdf in batches:
@@ -169,7 +238,8 @@ def leaked_items(docs: DataFrame, items: DataFrame, window: int = 12, radius: in
                     piece = pdf.iloc[lo : lo + 500]
                     words, offsets = word_hashes(piece["text"])
                     ids, rows = piece["doc_id"].to_numpy(), []
-                    for index in shared.value:
+                    by_window, by_item = shared.value
+                    for index in by_window:
                         at, doc = _windows(words, offsets, index.size)
                         who, what = index.near(window_fingerprints(words, index.size)[at], radius)
                         owner = doc[who]
@@ -178,6 +248,10 @@ def leaked_items(docs: DataFrame, items: DataFrame, window: int = 12, radius: in
                         for a, b in zip(bounds[:-1], bounds[1:]):
                             chosen = order[a:b]
                             rows += [(ids[owner[chosen[0]]], *hit) for hit in _doc_hits(index, words, at[who[chosen]], what[chosen], near)]
+                    if by_item:
+                        known = {(r[0], r[1]) for r in rows}
+                        hits = [(ids[d], int(by_item.ids[i]), s) for (d, i), s in by_item.find(words, offsets).items()]
+                        rows += [(d, i, 1, 0, s, s) for d, i, s in hits if (d, i) not in known]
                     if rows:
                         yield pd.DataFrame(rows, columns=["doc_id", "item_id", "windows", "run", "covered", "similarity"])
 

@@ -98,7 +98,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def p6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and the items they give away, in part or slightly changed, with the extent of it."""
-    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), whole=0.8)
 
 
 _WORDS = "len(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'))"

@@ -45,6 +45,21 @@ def test_slight_changes_and_short_items(spark):
     assert ("2", 7) not in got or got["2", 7]["run"] == 0
 
 
+def test_item_with_a_word_in_ten_changed(spark):
+    rng = random.Random(4)
+    item = [f"w{rng.randrange(4000)}" for _ in range(60)]
+    changed = [f"new{i}" if i % 10 == 5 else w for i, w in enumerate(item)]
+    moved = [x for i, w in enumerate(item) for x in ([w, "added"] if i % 12 == 4 else [] if i % 12 == 10 else [w])]
+    far = [f"new{i}" if i % 3 == 1 else w for i, w in enumerate(item)]
+    around = [f"v{i}" for i in range(50)]
+    docs = spark.createDataFrame([(d, " ".join(around + w + around), "", 0) for d, w in enumerate([item, changed, moved, far, around])], DOCS)
+    items = spark.createDataFrame([(7, " ".join(item), ""), (8, "short one here", "")], ITEMS)
+    got = {r["doc_id"]: r for r in leaked_items(docs, items, whole=0.8).collect()}
+    assert set(got) == {"0", "1", "2"} and got["0"]["run"] == 60
+    assert got["1"]["run"] == 0 and abs(got["1"]["similarity"] - 0.9) < 1e-9
+    assert "1" not in {r["doc_id"] for r in leaked_items(docs, items).collect()}
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], DOCS), spark.createDataFrame([], ITEMS)
     assert leaked_items(*none).collect() == []
