@@ -42,8 +42,8 @@ _PROSE = re.compile(r"\b(?:shall|must|may|will|agrees? to|is (?:obliged|expected
 
 #: Anything that could stand for a value to be filled in; the classifier decides.
 _MARK = re.compile(
-    r"\{\{.{1,40}?\}\}|\{%.{1,40}?%\}|<%.{1,40}?%>|[$#]\{.{1,40}?\}|%%\w{2,30}%%|%\(\w{2,30}\)s?|%\w{2,30}%|@@\w{2,30}@@|@\w{2,30}@|__[A-Za-z]\w{0,30}?__|~[A-Z]\w{1,30}~|\[\[.{1,40}?\]\]|<<.{1,40}?>>|«[^»\n]{1,40}»|\$?\[[^\[\]\n]{1,60}\]|<!--.{1,60}?-->|<[A-Za-z][\w :-]{1,40}>|\{\w{0,30}\}"
-    r"|\b(?:TODO|TBD|TBC|FIXME|XXX)\b:?(?: \w+){0,4}|\bX{2,}(?:[/.-]X{2,})+(?:[/.-]\d*X+)?|\bX{2,}\b|\((?:enter|insert|fill in|name of|your) [^()\n]{1,40}\)|\[?[●•]\]?|_{3,}"
+    r"\{\{.+?\}\}|\{%.+?%\}|<%.+?%>|[$#]\{.+?\}|%%\w{2,30}%%|%\(\w{2,30}\)s?|%\w{2,30}%|@@\w{2,30}@@|@\w{2,30}@|__[A-Za-z]\w{0,30}?__|~[A-Z]\w{1,30}~|\[\[.+?\]\]|<<.+?>>|«[^»\n]+»|\$?\[[^\[\]\n]+\]|<!--.+?-->|<[A-Za-z][\w :-]+>|\{\w*\}"
+    r"|\b(?i:TODO|TBD|TBC|FIXME|XXX)\b:?(?: \w+){0,4}|\bX{2,}(?:[/.-]X{2,})+(?:[/.-]\d*X+)?|\bX{2,}\b|\((?i:enter|insert|fill in|name of|your) [^()\n]+\)|\[?[●•]\]?|_{3,}"
 )
 _SURE_MARK = re.compile(
     r"\{\{.*\}\}|\{%.*%\}|<%.*%>|%%\w+%%|%\(\w+\)s?|@@\w+@@|\[\[[A-Za-z_ ]+\]\]|<<[A-Za-z_ ]+>>|\[(?:insert|enter|tbd|todo|name of|your|date of)\b.*\]|\((?:enter|insert)\b.*\)|(?:TODO|FIXME):.*|<\w+_here>|<!-- .*missing.*-->|\[[●•]\]|XX/XX/(?:20)?XX(?:XX)?|__[A-Z_]+__|\{\d\}|[$#]\{\w+\}",
@@ -56,14 +56,15 @@ _LINE = re.compile(r"[^\n\f\r]+")
 
 
 _SERVER = re.compile(r"[a-z][\w.-]*(?:/\d[\w.]*)?", re.I)
-#: No mark is without one of these; a text without them is not searched.
-_HINTS = ("{", "<", "@", "~", "«", "[", "●", "•", "#{", "__", "TODO", "TBD", "TBC", "FIXME", "XX", "(enter", "(insert", "(fill in", "(name of", "(your", "%%", "%(")
+#: No mark is without one of these, in lower case; a text without them is not searched.
+_HINTS = ("{", "<", "@", "~", "«", "[", "●", "•", "#{", "__", "todo", "tbd", "tbc", "fixme", "xx", "(enter", "(insert", "(fill in", "(name of", "(your", "%%", "%(")
 _PERCENT = re.compile(r"%\w{2,30}%")
 
 
 def _marks(text: str) -> Iterator[re.Match]:
     """Matches of what could be a placeholder, by line."""
-    if any(h in text for h in _HINTS) or ("%" in text and _PERCENT.search(text)):
+    low = text.lower()
+    if any(h in low for h in _HINTS) or ("%" in text and _PERCENT.search(text)):
         yield from _MARK.finditer(text)
 
 
