@@ -2,15 +2,28 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
+
+from cordonlake.functions.text import bound, checksum, heading, sampled_shingles, starts_mid_sentence
+from cordonlake.session import stacked, unique_rows
+
+
+PAGE_CHARS = 3000
+_CHUNK = "chunk_id string, doc_id string, tenant string, source string, ordinal int, n_tokens int, page int, section string, start int, end int, end_page int, end_section string, body string"
 
-from cordonlake.functions.text import checksum, heading, sampled_shingles
+_RUN = "doc_id string, tenant string, source string, first_block int, n_blocks int, section string, page int, start long, n_chars long, before string"
 
 
 def one_per_document(docs: DataFrame) -> DataFrame:
-    """Each ``doc_id`` once; rows of one id are repetitions of each other."""
-    return docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    """Each ``doc_id`` once; rows of one id are repetitions of each other. Texts are not shuffled where rows come from files."""
+    return unique_rows(docs, "doc_id")
 
 
 def token_list(text: Column) -> Column:
@@ -28,49 +41,162 @@ def windows(tokens: Column, size: int, overlap: int) -> Column:
 def fixed_chunks(docs: DataFrame, size: int = 512, overlap: int = 76, shortest: int = 40) -> DataFrame:
     """``chunk_id, doc_id, tenant, source, ordinal, n_tokens, body`` of overlapping windows of a document's tokens.
 
-    Chunks below ``shortest`` characters are left out and leave a gap in ``ordinal``.
+    Bodies are cut within the row, so the tokens of a document exist once. Chunks below ``shortest`` characters are left out and
+    leave a gap in ``ordinal``. :func:`placed_chunks` gives the same chunks with their places.
     """
-    t = docs.select("doc_id", "tenant", "source", token_list(F.col("text")).alias("t"))
-    w = t.select("*", F.posexplode(windows(F.col("t"), size, overlap)).alias("ordinal", "at"))
-    body = F.array_join(F.slice("t", F.col("at") + 1, size), " ")
-    out = w.select(F.format_string("%s::fixed-%d::%05d", "doc_id", F.lit(size), "ordinal").alias("chunk_id"), "doc_id", "tenant", "source", "ordinal", F.least(F.lit(size), F.size("t") - F.col("at")).alias("n_tokens"), body.alias("body"))
+    step = size - overlap
+
+    def cut(t: Column) -> Column:
+        return F.transform(windows(t, size, overlap), lambda at: F.struct((at / step).cast("int").alias("ordinal"), F.least(F.lit(size), F.size(t) - at).alias("n_tokens"), F.array_join(F.slice(t, at + 1, size), " ").alias("body")))
+
+    one = docs.select("doc_id", "tenant", "source", F.explode(bound(token_list(F.col("text")), cut)).alias("c")).select("doc_id", "tenant", "source", "c.*")
+    out = one.select(F.format_string("%s::fixed-%d::%05d", "doc_id", F.lit(size), "ordinal").alias("chunk_id"), "doc_id", "tenant", "source", "ordinal", "n_tokens", "body")
     return out.where(F.length("body") >= shortest)
 
 
-def section_runs(docs: DataFrame) -> DataFrame:
-    """``doc_id, tenant, source, first_block, n_blocks, section, page, start, n_chars``: longest runs of blocks of one section.
+def placed_chunks(docs: DataFrame, by_section: bool = False, size: int = 512, overlap: int = 76, shortest: int = 40) -> DataFrame:
+    """Chunks with their place: the columns of :func:`fixed_chunks`, ``page``, ``section`` and character ``start`` at which a chunk begins and those
+    at which it ends (``end`` is the position after its last character).
 
-    ``start`` is the position of the run in the text, from 0; ``page`` that of its first block. A running sum over the
-    blocks of a document numbers the runs.
+    ``by_section``: chunks never cross a section, ``page`` is that on which the section opens, and ``ordinal`` counts those that are kept,
+    so it has no gaps. A document is cut where it is read, in one pass over its tokens and blocks; nothing is shuffled.
+
+    Args:
+        docs: ``doc_id, tenant, source, text, blocks``; other columns are ignored. ``text`` is the blocks joined by one newline. Without
+            blocks pages and sections are null, and the document is one section.
     """
-    b = docs.select("doc_id", "tenant", "source", F.posexplode("blocks").alias("at", "b")).select("doc_id", "tenant", "source", "at", "b.len", "b.page", "b.section")
-    order = Window.partitionBy("doc_id").orderBy("at")
-    new = (~F.col("section").eqNullSafe(F.lag("section").over(order)) | (F.col("at") == 0)).cast("int")
-    placed = b.withColumn("new", new).withColumn("start", F.sum(F.col("len") + 1).over(order) - F.col("len") - 1)
-    runs = placed.withColumn("run", F.sum("new").over(order))
-    return runs.groupBy("doc_id", "tenant", "source", "run").agg(
-        F.min("at").alias("first_block"), F.count("*").alias("n_blocks"), F.min_by("section", "at").alias("section"), F.min_by("page", "at").alias("page"),
-        F.min("start").alias("start"), (F.sum("len") + F.count("*") - 1).alias("n_chars"),
-    ).drop("run")
-
-
-def section_chunks(docs: DataFrame, size: int = 512, overlap: int = 76, shortest: int = 40) -> DataFrame:
-    """Chunks that never cross a section; ``ordinal`` counts those that are kept, so it has no gaps."""
+    token, step = re.compile(r"\S+", re.A), size - overlap
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for doc, tenant, source, text, lens, pages, sections in zip(*(pdf[c] for c in ("doc_id", "tenant", "source", "text", "lens", "pages", "sections"))):
+                spans = [m.span() for m in token.finditer(text or "")]
+                if not spans:
+                    continue
+                starts = np.array([a for a, _ in spans])
+                lens = np.asarray(lens if lens is not None else [], np.int64)
+                edge = np.concatenate([[0], np.cumsum(lens + 1)])  # where blocks begin
+                place = lambda pos: min(int(np.searchsorted(edge, pos, side="right")) - 1, len(lens) - 1)  # noqa: B023, E731
+                new = [i for i in range(len(lens)) if i and sections[i] != sections[i - 1]] if by_section else []
+                bounds = [0, *(int(np.searchsorted(starts, edge[i])) for i in new), len(spans)]
+                ordinal = 0
+                for i, (lo, hi) in enumerate(zip(bounds, bounds[1:])):
+                    n, opens = hi - lo, ([0, *new][i] if by_section and len(lens) else None)
+                    last = max(0, -(-(n - size) // step)) if n else -1
+                    for k in range(last + 1):
+                        a, b = lo + k * step, min(hi, lo + k * step + size)
+                        body = " ".join(text[x:y] for x, y in spans[a:b])
+                        if len(body) < shortest:
+                            ordinal += not by_section
+                            continue
+                        first, end = spans[a][0], spans[b - 1][1]
+                        at, to = (place(first), place(end - 1)) if len(lens) else (None, None)
+                        look = lambda values, i: None if i is None else values[i]
+                        name = f"{doc}::section::{ordinal:05d}" if by_section else f"{doc}::fixed-{size}::{ordinal:05d}"
+                        rows.append((name, doc, tenant, source, ordinal, b - a, look(pages, at if opens is None else opens), look(sections, at), first, end, look(pages, to), look(sections, to), body))
+                        ordinal += 1
+            if rows:
+                out = pd.DataFrame(rows, columns=[c.split()[0] for c in _CHUNK.split(", ")])
+                for c in ("page", "end_page"):
+                    out[c] = out[c].astype("Int32")
+                yield out
+
+    return docs.select(F.col("doc_id").cast("string"), "tenant", "source", "text", *_block_arrays()).mapInPandas(cut, _CHUNK)
+
+
+def span_report(chunks: DataFrame, docs: DataFrame) -> DataFrame:
+    """Chunks of :func:`placed_chunks` with ``crosses_section`` and ``mid_sentence``: whether the 60 characters before it end within a sentence."""
     texts = docs.select("doc_id", "text")
-    runs = section_runs(docs).join(texts, "doc_id").withColumn("t", token_list(F.substring(F.col("text"), F.col("start") + 1, F.col("n_chars"))))
-    w = runs.select("doc_id", "tenant", "source", "section", "page", "first_block", "t", F.posexplode(windows(F.col("t"), size, overlap)).alias("part", "at"))
-    cut = w.select("doc_id", "tenant", "source", "section", "page", "first_block", "part", F.array_join(F.slice("t", F.col("at") + 1, size), " ").alias("body"), F.least(F.lit(size), F.size("t") - F.col("at")).alias("n_tokens")).where(F.length("body") >= shortest)
-    ordinal = F.row_number().over(Window.partitionBy("doc_id").orderBy("first_block", "part")) - 1
-    return cut.withColumn("ordinal", ordinal).select(F.format_string("%s::section::%05d", "doc_id", "ordinal").alias("chunk_id"), "doc_id", "tenant", "source", "section", "page", "ordinal", "n_tokens", "body")
+    before = F.rtrim(F.substring(F.col("text"), F.greatest(F.lit(1), F.col("start") - 59), F.least(F.lit(60), F.col("start"))), F.lit(" \n"))
+    return chunks.join(texts, "doc_id").select(*chunks.columns, (~F.col("section").eqNullSafe(F.col("end_section"))).alias("crosses_section"), starts_mid_sentence(before).alias("mid_sentence"))
+
+
+def _block_arrays() -> list[Column]:
+    return [F.transform("blocks", lambda b: F.coalesce(b["len"], F.lit(0))).alias("lens"), F.transform("blocks", lambda b: b["page"]).alias("pages"), F.transform("blocks", lambda b: b["section"]).alias("sections")]
+
+
+def section_runs(docs: DataFrame, before: int = 0) -> DataFrame:
+    """``doc_id, tenant, source, first_block, n_blocks, section, page, start, n_chars, before``: longest runs of blocks of one section.
+
+    ``start`` is the position of the run in the text, from 0; ``page`` that of its first block; ``before`` the characters that stand ahead of
+    it, at most so many. Runs are found where a document is read; nothing is shuffled.
+    """
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for doc, tenant, source, text, lens, pages, sections in zip(*(pdf[c] for c in ("doc_id", "tenant", "source", "text", "lens", "pages", "sections"))):
+                if lens is None or not len(lens):
+                    continue
+                edge = np.concatenate([[0], np.cumsum(np.asarray(lens, np.int64) + 1)])
+                first = [i for i in range(len(lens)) if not i or sections[i] != sections[i - 1]]
+                for i, j in zip(first, [*first[1:], len(lens)]):
+                    start = int(edge[i])
+                    rows.append((doc, tenant, source, i, j - i, sections[i], pages[i], start, int(edge[j] - edge[i] - 1), (text or "")[max(0, start - before) : start]))
+            if rows:
+                out = pd.DataFrame(rows, columns=[c.split()[0] for c in _RUN.split(", ")])
+                out["page"] = out["page"].astype("Int32")
+                yield out
+
+    text = F.col("text") if before else F.lit(None).cast("string").alias("text")
+    return docs.select(F.col("doc_id").cast("string"), "tenant", "source", text, *_block_arrays()).mapInPandas(find, _RUN)
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def _estimated_pages(sizes: pd.Series) -> pd.Series:
+    """Page of each line of a text without page marks: a line that takes a page over ``PAGE_CHARS`` opens the next one."""
+    out = []
+    for line_sizes in sizes:
+        page, held, pages = 1, 0, []
+        for n in line_sizes:
+            held += n + 1 if n else 0
+            if held > PAGE_CHARS:
+                page, held = page + 1, 0
+            pages.append(page)
+        out.append(pages)
+    return pd.Series(out)
 
 
 def lines_with_sections(texts: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``doc_id, line_no, page, section`` of every line that is not blank: form feeds count pages, headings carry on."""
-    lines = texts.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    """``doc_id, line_no, page, section`` of every line that is not blank.
+
+    Form feeds count pages; texts without any get estimated pages of ``PAGE_CHARS`` characters. Headings carry on, ``preamble`` comes before the first.
+    """
+    trimmed = lambda x: F.length(F.trim(F.regexp_replace(x, r"^\s+|\s+$", "")))
+    parts = texts.where("text is not null").select(F.col(id_col).alias("doc_id"), F.split("text", "\n").alias("lines"), F.contains("text", F.lit("\f")).alias("fed"))
+    sized = parts.withColumn("pages", F.when(~F.col("fed"), _estimated_pages(F.when(~F.col("fed"), F.transform("lines", trimmed)).otherwise(F.array().cast("array<int>")))))
+    feeds = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\f"), F.lit("")))
+    each = F.transform("lines", lambda x, i: F.struct(x.alias("line"), feeds(x).alias("feeds"), F.get("pages", i).alias("est")))
+    zipped = sized.select("doc_id", F.posexplode(each).alias("line_no", "z"), "fed")
+    lines = zipped.select("doc_id", "line_no", "fed", "z.feeds", "z.est", heading(F.replace(F.col("z.line"), F.lit("\f"), F.lit(""))).alias("head"), (trimmed(F.col("z.line")) > 0).alias("said"))
     so_far = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    feeds = F.length("line") - F.length(F.replace(F.col("line"), F.lit("\f"), F.lit("")))
-    marked = lines.withColumn("page", (1 + F.sum(feeds).over(so_far)).cast("int")).withColumn("section", F.coalesce(F.last(heading(F.col("line")), ignorenulls=True).over(so_far), F.lit("preamble")))
-    return marked.where(F.trim(F.regexp_replace("line", r"\s", " ")) != "").select("doc_id", "line_no", "page", "section")
+    page = F.when(F.col("fed"), 1 + F.sum("feeds").over(so_far)).otherwise(F.col("est")).cast("int")
+    marked = lines.withColumn("page", page).withColumn("section", F.coalesce(F.last("head", ignorenulls=True).over(so_far), F.lit("preamble")))
+    return marked.where("said").select("doc_id", "line_no", "page", "section")
+
+
+def validity(texts: DataFrame, shortest: int = 200) -> DataFrame:
+    """``doc_id, state`` of ``doc_id, text``: ``missing`` (no text), ``short`` (below ``shortest`` characters) or ``valid``; a bad one stops nothing."""
+    n = F.length(F.trim("text"))
+    return texts.select("doc_id", F.when(F.coalesce(n, F.lit(0)) == 0, "missing").when(n < shortest, "short").otherwise("valid").alias("state"))
+
+
+def duplicates_by_accession(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``doc_id, dropped_for``: documents of ``left`` whose file name holds the accession number of one of ``right`` (both ``doc_id, identifier``).
+
+    An accession number is the first run of ten digits or more once dashes are gone; of several documents the smallest id is taken.
+    """
+    digits = F.regexp_extract(F.replace("identifier", F.lit("-"), F.lit("")), r"([0-9]{10,})", 1)
+    a, b = (x.where(digits != "").select("doc_id", digits.alias("digits")) for x in (left, right))
+    keep = b.groupBy("digits").agg(F.min("doc_id").alias("dropped_for"))
+    return a.join(keep, "digits").where("doc_id <> dropped_for").groupBy("doc_id").agg(F.min("dropped_for").alias("dropped_for"))
+
+
+def first_decision(*stages: tuple[str, DataFrame]) -> DataFrame:
+    """``doc_id, stage, dropped_for``: of the stages (name, ``doc_id, dropped_for``) that drop a document the first one decides."""
+    parts = [df.select("doc_id", F.struct(F.lit(i).alias("i"), F.lit(name).alias("stage"), "dropped_for").alias("s")) for i, (name, df) in enumerate(stages)]
+    return stacked(*parts).groupBy("doc_id").agg(F.min("s").alias("s")).select("doc_id", "s.stage", "s.dropped_for")
 
 
 def duplicates_by_checksum(docs: DataFrame) -> DataFrame:

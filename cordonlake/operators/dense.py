@@ -5,20 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cordonlake.session import bounded_pandas
+from cordonlake.session import bounded_pandas, stacked, unique_rows
 
 QUERY_ROWS = 10_000
 
 
 def usable(df: DataFrame, dim: int = 384) -> DataFrame:
-    """``id, tenant, v``, one row per id: of repeated ids the first by tenant. Null, all-zero and other vectors are left out."""
+    """``id, tenant, v``, one row per id: of repeated ids the first by tenant. Null, all-zero and other vectors are left out.
+
+    Read from files, no vector is shuffled for it.
+    """
     ok = df.where(F.col("id").isNotNull() & (F.size("embedding") == dim) & F.exists("embedding", lambda x: x != 0))
-    one = ok.groupBy("id").agg(F.min(F.struct(F.col("tenant").cast("string").alias("tenant"), "embedding")).alias("r"))
-    return one.select("id", "r.tenant", F.col("r.embedding").alias("v"))
+    return unique_rows(ok, "id", ["tenant"]).select("id", F.col("tenant").cast("string").alias("tenant"), F.col("embedding").alias("v"))
 
 
 def similarities(queries: DataFrame, vectors: DataFrame, block: int = 500, best: int | None = None) -> DataFrame:
-    """``query_id, id, tenant, score`` of every query against every vector; both from :func:`usable`.
+    """``query_id, id, tenant, score`` of every query against every vector; both from :func:`usable` or ``providers.embed``.
 
     The query set is broadcast in parts of about ``QUERY_ROWS`` and multiplied with each batch of vectors where it is read; scores are cosines rounded to 6 decimals. Callers rank at once, so a query's rows never gather. With ``best`` a
     batch gives only what its ``best`` highest scores per query reach, ties included, which is all that a top-k needs.
@@ -30,6 +32,9 @@ def similarities(queries: DataFrame, vectors: DataFrame, block: int = 500, best:
         v = np.stack(column.to_numpy()).astype(np.float64)
         return v / np.linalg.norm(v, axis=1, keepdims=True)
 
+    kinds = dict(queries.dtypes)["id"], dict(vectors.dtypes)["id"]
+    schema = "query_id {}, id {}, tenant string, score double".format(*(k if k == "string" else "long" for k in kinds))
+
     def score(batches, shared):
         q_ids, q = shared.value
         for pdf in batches:
@@ -52,9 +57,9 @@ def similarities(queries: DataFrame, vectors: DataFrame, block: int = 500, best:
     for part in range(parts):
         asked = bounded_pandas(queries.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part).select("id", "v"), 2 * QUERY_ROWS, "query vectors of one part")
         matrix = unit(asked["v"]) if len(asked) else np.zeros((0, 1))
-        shared = vectors.sparkSession.sparkContext.broadcast((asked["id"].to_numpy("int64"), matrix))
-        scored = vectors.select("id", "tenant", "v").mapInPandas(lambda batches, shared=shared: score(batches, shared), "query_id long, id long, tenant string, score double")
-        out = scored if out is None else out.unionByName(scored)
+        shared = vectors.sparkSession.sparkContext.broadcast((asked["id"].to_numpy(object if kinds[0] == "string" else "int64"), matrix))
+        scored = vectors.select("id", "tenant", "v").mapInPandas(lambda batches, shared=shared: score(batches, shared), schema)
+        out = scored if out is None else stacked(out, scored)
     return out
 
 
@@ -64,8 +69,10 @@ def ranked(scores: DataFrame, k: int, name: str = "rank") -> DataFrame:
     return scores.withColumn(name, F.row_number().over(order)).where(F.col(name) <= k)
 
 
-def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
-    """``query_id, id, tenant, score, rank`` without the query itself."""
+def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, with_itself: bool = False) -> DataFrame:
+    """``query_id, id, tenant, score, rank``; a query that is one of the vectors is left out of its own list unless ``with_itself``."""
+    if with_itself:
+        return ranked(similarities(queries, vectors, best=k), k)
     return ranked(similarities(queries, vectors, best=k + 1).where("query_id <> id"), k)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cordonlake.session import stacked
+
 RELEVANT = 2
 
 
@@ -94,8 +96,7 @@ def consistency_issues(queries: DataFrame, grades: DataFrame) -> DataFrame:
     q = queries.select("query_id", F.coalesce("answerable", F.lit(True)).alias("answerable"), "source_chunk_ids").dropDuplicates(["query_id"]).join(best, "query_id", "left")
     sources = q.where("answerable").select("query_id", F.explode("source_chunk_ids").alias("chunk_id")).join(grades, ["query_id", "chunk_id"]).where(F.col("grade") < RELEVANT)
     name = lambda df, issue: df.select("query_id", F.lit(issue).alias("issue")).distinct()
-    return (name(q.where(~F.col("answerable") & (F.col("best") >= RELEVANT)), "answerless").unionByName(name(sources, "source_irrelevant"))
-            .unionByName(name(q.where(F.col("best") < RELEVANT), "nothing_relevant")).unionByName(name(q.where("best is null"), "unjudged")))
+    return stacked(name(q.where(~F.col("answerable") & (F.col("best") >= RELEVANT)), "answerless"), name(sources, "source_irrelevant"), name(q.where(F.col("best") < RELEVANT), "nothing_relevant"), name(q.where("best is null"), "unjudged"))
 
 
 def stratified(df: DataFrame, stratum: str, item: str, share: float = 0.25) -> DataFrame:
@@ -105,8 +106,81 @@ def stratified(df: DataFrame, stratum: str, item: str, share: float = 0.25) -> D
     return placed.where(F.col("_h") <= F.greatest(F.lit(1), F.floor(F.col("_n") * share + 0.5))).drop("_h", "_n")
 
 
+#: Metrics of which less is better begin with one of these.
+LOWER_IS_BETTER = ("latency", "cost", "seconds")
+
+
 def compare_runs(a: DataFrame, b: DataFrame) -> DataFrame:
-    """``metric, delta, separated``: of two runs' ``metric, value, lo, hi``; separated where the intervals do not meet."""
+    """``metric, delta, separated, better``: of two runs' ``metric, value, lo, hi``.
+
+    ``separated`` where the intervals do not meet; ``better`` whether b moved the right way, null without a move. A metric that one
+    run lacks has nulls.
+    """
     x, y = (d.select("metric", *(F.col(c).alias(f"{c}_{s}") for c in ("value", "lo", "hi"))) for d, s in ((a, "a"), (b, "b")))
     apart = (F.col("hi_a") < F.col("lo_b")) | (F.col("hi_b") < F.col("lo_a"))
-    return x.join(y, "metric", "full_outer").select("metric", F.round(F.col("value_b") - F.col("value_a"), 6).alias("delta"), apart.alias("separated"))
+    delta = F.round(F.col("value_b") - F.col("value_a"), 6)
+    less = F.lit(False)
+    for name in LOWER_IS_BETTER:
+        less = less | F.startswith("metric", F.lit(name))
+    return x.join(y, "metric", "full_outer").select("metric", delta.alias("delta"), apart.alias("separated"), F.when(delta != 0, (delta > 0) != less).alias("better"))
+
+
+def config_diff(a: dict[str, str], b: dict[str, str], spark) -> DataFrame:
+    """``key, a, b`` of the settings in which two runs differ; null where one lacks the key."""
+    rows = [(k, a.get(k), b.get(k)) for k in sorted(a.keys() | b.keys()) if a.get(k) != b.get(k)]
+    return spark.createDataFrame(rows, "key string, a string, b string")
+
+
+def judged_counts(results: DataFrame, grades: DataFrame) -> DataFrame:
+    """One row ``n_judged, n_unjudged``: queries with results that have judgments, and those that have none and are not scored."""
+    judged = grades.select("query_id").distinct().withColumn("j", F.lit(1))
+    return results.select("query_id").distinct().join(judged, "query_id", "left").agg(F.count("j").alias("n_judged"), F.count_if(F.col("j").isNull()).alias("n_unjudged"))
+
+
+def graded_run(results: DataFrame, grades: DataFrame, clause: str, stamp: str, config: dict[str, str], resamples: int = 1000, latency: DataFrame | None = None) -> DataFrame:
+    """A run as rows: ``run_id, config, metric, value, lo, hi, n, n_judged, n_unjudged``.
+
+    ``run_id`` is ``clause-stamp``, the stamp (``yyyyMMddHHmmss``) comes from the caller, so a run can be repeated. Metrics are the means of
+    :func:`query_scores` over judged queries with bootstrap intervals. ``latency`` (``item, value``) adds its percentiles without intervals.
+    """
+    per = query_scores(results, grades).select(F.col("query_id").alias("item"), F.expr("stack(4, 'hit', hit, 'reciprocal_rank', reciprocal_rank, 'ndcg', ndcg, 'precision', precision) as (metric, value)"))
+    rows = bootstrap(per, resamples)
+    if latency is not None:
+        p = latency.where("value is not null").agg(*(F.round(F.percentile("value", F.lit(q)), 6).alias(f"latency_p{int(q * 100)}") for q in (0.5, 0.95, 0.99)), F.count("*").alias("n"))
+        long = p.select("n", F.expr("stack(3, 'latency_p50', latency_p50, 'latency_p95', latency_p95, 'latency_p99', latency_p99) as (metric, value)"))
+        rows = stacked(rows, long, allow_missing=True)
+    settings = F.to_json(F.create_map(*[F.lit(x) for kv in sorted(config.items()) for x in kv])) if config else F.lit("{}")
+    return rows.crossJoin(F.broadcast(judged_counts(results, grades))).select(F.lit(f"{clause}-{stamp}").alias("run_id"), settings.alias("config"), "metric", "value", "lo", "hi", "n", "n_judged", "n_unjudged")
+
+
+def modal_share(grades: DataFrame, limit: float = 0.8) -> DataFrame:
+    """One row ``grade, share, degenerate``: the most frequent grade, ties to the smaller, and whether it has more than ``limit`` of all."""
+    n = grades.groupBy("grade").agg(F.count("*").alias("n"))
+    return n.agg(F.max_by("grade", F.struct("n", -F.col("grade"))).alias("grade"), F.round(F.max("n") / F.sum("n"), 6).alias("share")).where("grade is not null").withColumn("degenerate", F.col("share") > limit)
+
+
+def review(results: DataFrame, grades: DataFrame, k: int = 10) -> DataFrame:
+    """``query_id, rank, chunk_id, grade, gain, dcg, idcg, first_relevant``: each result of a judged query with what it adds, summed up to it."""
+    got = with_grades(results.where(F.col("rank") <= k), grades)
+    upto = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ideal = grades.withColumn("i", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("grade").desc(), "chunk_id"))).where(F.col("i") <= k).groupBy("query_id").agg(F.round(F.sum(_gain(F.col("grade"), F.col("i"))), 6).alias("idcg"))
+    gain = _gain(F.col("grade"), F.col("rank"))
+    first = F.min(F.when(F.col("grade") >= RELEVANT, F.col("rank"))).over(Window.partitionBy("query_id"))
+    return got.withColumn("gain", F.round(gain, 6)).withColumn("dcg", F.round(F.sum(gain).over(upto), 6)).withColumn("first_relevant", first).join(ideal, "query_id").select("query_id", "rank", "chunk_id", "grade", "gain", "dcg", "idcg", "first_relevant")
+
+
+def worked_example(pairs: DataFrame, least: int = 3) -> DataFrame:
+    """One row ``query_id, n``: the query with the most verified judgments, at least ``least``; ties to the smaller id."""
+    return pairs.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.col("n").desc(), "query_id").limit(1)
+
+
+def verification_report(pairs: DataFrame) -> DataFrame:
+    """``query_id, chunk_id, grade, model_grade, diverged, crosses``: grades that differ, and such of which only one is relevant."""
+    return pairs.select("query_id", "chunk_id", "grade", "model_grade", (F.col("grade") != F.col("model_grade")).alias("diverged"), ((F.col("grade") >= RELEVANT) != (F.col("model_grade") >= RELEVANT)).alias("crosses"))
+
+
+def grade_deltas(pairs: DataFrame) -> DataFrame:
+    """``delta, n``: how often a model's grade lies so far above (or below) the human one, from -3 to 3, zeros included."""
+    domain = pairs.sparkSession.range(-3, 4).select(F.col("id").cast("int").alias("delta"))
+    n = pairs.groupBy((F.col("model_grade") - F.col("grade")).alias("delta")).agg(F.count("*").alias("n"))
+    return domain.join(n, "delta", "left").select("delta", F.coalesce("n", F.lit(0)).alias("n"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cordonlake.functions.providers import Scorer, scores
 from cordonlake.operators.lexical import top_k
 
 
@@ -33,3 +34,14 @@ def movement(before: DataFrame, after: DataFrame) -> DataFrame:
     a = before.select("query_id", "chunk_id", F.col("rank").alias("was"))
     moved = after.select("query_id", "chunk_id", "rank").join(a, ["query_id", "chunk_id"])
     return moved.groupBy("query_id").agg(F.max(F.col("was") - F.col("rank")).alias("max_promotion"), F.count_if(F.col("was") == F.col("rank")).alias("n_unchanged"))
+
+
+def rerank(fused: DataFrame, questions: DataFrame, chunks: DataFrame, model: Scorer, k: int = 10, depth: int = 50) -> DataFrame:
+    """``query_id, chunk_id, was, score, rank``: the first ``depth`` of a list (``query_id, chunk_id, rank``) ranked again by a model, the best ``k``.
+
+    The model reads each question with each of its passages. Ties keep their order. Chunks that are gone are left out.
+    """
+    pairs = fused.where(F.col("rank") <= depth).select("query_id", "chunk_id", F.col("rank").alias("was"))
+    read = pairs.join(questions.select("query_id", "question"), "query_id").join(chunks.select("chunk_id", F.col("body").alias("passage")), "chunk_id")
+    scored = scores(read, model).select("query_id", "chunk_id", "was", F.round("score", 6).alias("score"))
+    return top_k(scored, k, "score", "was")

@@ -16,7 +16,7 @@ def longest_run(quote: Column, body: Column) -> Column:
     def run(quotes: pd.Series, bodies: pd.Series) -> pd.Series:
         out = []
         for q, b in zip(quotes, bodies):
-            words, best, first = (q or "").split(), 0, 0
+            words, best, first = [w for w in (q or "").split(" ") if w], 0, 0
             while words and b and first + best < len(words):
                 # only a longer run than the best so far counts
                 if " ".join(words[first : first + best + 1]) in b:
@@ -42,10 +42,10 @@ def verify(resolved: DataFrame) -> DataFrame:
 
 
 def overlaps(verified: DataFrame) -> DataFrame:
-    """Adds ``overlap``: 1 for verified quotes, else their longest verbatim run; the run is only searched where needed."""
-    run = longest_run(collapsed(F.col("quote")), collapsed(F.col("body")))
-    done = verified.where("verified").withColumn("overlap", F.lit(1.0))
-    return done.unionByName(verified.where("not verified").withColumn("overlap", F.coalesce(run, F.lit(0.0))))
+    """Adds ``overlap``: 1 for verified quotes, else their longest verbatim run; verified ones are not sent to Python."""
+    open_ = lambda c: F.when(~F.col("verified"), collapsed(F.col(c)))
+    run = longest_run(open_("quote"), open_("body"))
+    return verified.withColumn("_run", run).withColumn("overlap", F.when(F.col("verified"), 1.0).otherwise(F.coalesce("_run", F.lit(0.0)))).drop("_run")
 
 
 def gate(answers: DataFrame, verified: DataFrame, substantial: int = 40) -> DataFrame:
@@ -60,6 +60,13 @@ def gate(answers: DataFrame, verified: DataFrame, substantial: int = 40) -> Data
     return answers.join(sums, "answer_id", "left").select("answer_id", reason.isNotNull().alias("abstained"), reason.alias("reason"))
 
 
-def citation_metrics(verified: DataFrame) -> DataFrame:
-    """``answer_id, n_claims, accuracy``: the share of claims that resolve and are verbatim."""
-    return verified.groupBy("answer_id").agg(F.count("*").alias("n_claims"), F.round(F.avg((F.col("resolved") & F.col("verified")).cast("double")), 6).alias("accuracy"))
+def citation_metrics(answers: DataFrame, verified: DataFrame) -> DataFrame:
+    """``answer_id, n_claims, n_cited, accuracy, coverage, abstention_correct``.
+
+    ``answers`` gives ``answer_id, abstained, answerable, n_claims``; ``verified`` are the claims that carry a citation. Accuracy is the share of
+    citations that resolve and are verbatim, null without citations; coverage the share of claims that are cited, 1 at most, null
+    without claims. An abstention is correct where the question cannot be answered, an answer where it can.
+    """
+    cited = verified.groupBy("answer_id").agg(F.count("*").alias("n_cited"), F.round(F.avg((F.col("resolved") & F.col("verified")).cast("double")), 6).alias("accuracy"))
+    coverage = F.when(F.col("n_claims") > 0, F.round(F.least(F.coalesce("n_cited", F.lit(0)), F.col("n_claims")) / F.col("n_claims"), 6))
+    return answers.join(cited, "answer_id", "left").select("answer_id", "n_claims", F.coalesce("n_cited", F.lit(0)).alias("n_cited"), "accuracy", coverage.alias("coverage"), (F.col("abstained") != F.col("answerable")).alias("abstention_correct"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cordonlake.session import stacked
+
 
 def keep_latest(df: DataFrame, key: str, version: str) -> DataFrame:
     """One row per key: that of the latest version, a null one last, ties to the smallest remaining values."""
@@ -15,17 +17,17 @@ def keep_latest(df: DataFrame, key: str, version: str) -> DataFrame:
 
 def upsert(existing: DataFrame, incoming: DataFrame, key: str, version: str) -> DataFrame:
     """``existing`` with the rows of ``incoming`` merged in by key; the later version stays."""
-    return keep_latest(existing.unionByName(incoming), key, version)
+    return keep_latest(stacked(existing, incoming), key, version)
 
 
 def insert_missing(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     """``existing`` and those rows of ``incoming`` whose key it lacks, one per key."""
-    return existing.unionByName(incoming.dropDuplicates([key]).join(existing.select(key), key, "left_anti").select(existing.columns))
+    return stacked(existing, incoming.dropDuplicates([key]).join(existing.select(key), key, "left_anti").select(existing.columns))
 
 
 def replace_slices(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     """``existing`` without the rows of every key that ``incoming`` has, and all rows of ``incoming``."""
-    return existing.join(incoming.select(key).distinct(), key, "left_anti").select(existing.columns).unionByName(incoming)
+    return stacked(existing.join(incoming.select(key).distinct(), key, "left_anti").select(existing.columns), incoming)
 
 
 def classify_changes(known: DataFrame, incoming: DataFrame, with_chunks: DataFrame) -> DataFrame:
@@ -46,8 +48,18 @@ def verify_manifest(manifest: DataFrame, found: DataFrame) -> DataFrame:
     return m.join(f, "doc_id", "full_outer").select("doc_id", state.alias("state"))
 
 
+def cache_key(body: str = "body"):
+    """Key of a body in an embedding cache; equal bodies share it."""
+    return F.substring(F.sha2(body, 256), 1, 32)
+
+
 def cache_lookup(bodies: DataFrame, cache: DataFrame, model: str) -> DataFrame:
-    """``chunk_id, key, hit`` of bodies against the keys of a model's cache; equal bodies share a key."""
-    keyed = bodies.select("chunk_id", F.substring(F.sha2("body", 256), 1, 32).alias("key"))
+    """``chunk_id, key, hit`` of bodies against the keys of a model's cache."""
     held = cache.where(F.col("model") == model).select("key").distinct().withColumn("h", F.lit(True))
-    return keyed.join(held, "key", "left").select("chunk_id", "key", F.coalesce("h", F.lit(False)).alias("hit"))
+    return bodies.select("chunk_id", cache_key().alias("key")).join(held, "key", "left").select("chunk_id", "key", F.coalesce("h", F.lit(False)).alias("hit"))
+
+
+def cache_put(cache: DataFrame | None, bodies: DataFrame, model: str) -> DataFrame:
+    """The cache (``key, model, body``) with those bodies that it lacks for a model, each once; None is an empty cache."""
+    new = bodies.select(cache_key().alias("key"), F.lit(model).alias("model"), "body").dropDuplicates(["key"])
+    return new if cache is None else stacked(cache, new.join(cache.where(F.col("model") == model).select("key"), "key", "left_anti"))

@@ -1,24 +1,43 @@
-"""Lexical retrieval over postings."""
+"""Lexical retrieval of a set of questions: chunks are counted and scored where they are read."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cordonlake.functions.text import search_terms, words
+from cordonlake.functions.text import run_lengths, search_terms, words
+from cordonlake.session import bounded_pandas, materialize, stacked
 
+WEIGHT_ROWS = 2_000_000
+_CELLS = 4_000_000  # scores held at once
 
-def postings(chunks: DataFrame, stopwords: bool = False) -> DataFrame:
-    """``term, chunk_id, tf, dl`` of ``chunk_id, body``: one row per chunk and word, with the words of the chunk.
 
-    ``stopwords`` keeps the stopwords. Further columns of ``chunks`` are ignored; a null body has no postings.
+def counted(chunks: DataFrame, stopwords: bool = False) -> DataFrame:
+    """``chunks`` with ``dl``, the number of its words, and ``posts``, an array of each distinct word and its count.
+
+    Counts are made within the row: no word is shuffled. ``stopwords`` keeps the stopwords. A null body has no words.
     """
-    tokens = chunks.select("chunk_id", (words(F.col("body")) if stopwords else search_terms(F.col("body"))).alias("tokens"))
-    return tokens.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf")).select("term", "chunk_id", "tf", "dl")
+    tokens = words(F.col("body")) if stopwords else search_terms(F.col("body"))
+    posts = F.coalesce(run_lengths(tokens), F.array().cast("array<struct<item:string,n:int>>"))
+    return chunks.withColumn("posts", posts).withColumn("dl", F.coalesce(F.aggregate("posts", F.lit(0), lambda s, p: s + p["n"]), F.lit(0)))
+
+
+def postings(chunks: DataFrame, stopwords: bool = False) -> DataFrame:
+    """``term, chunk_id, tf, dl`` of ``chunk_id, body``: one row per chunk and word, with the words of the chunk."""
+    one = counted(chunks.select("chunk_id", "body"), stopwords).select("chunk_id", "dl", F.explode("posts").alias("p"))
+    return one.select(F.col("p.item").alias("term"), "chunk_id", F.col("p.n").cast("long").alias("tf"), "dl")
 
 
-def document_frequency(posts: DataFrame) -> DataFrame:
-    return posts.groupBy("term").agg(F.count("*").alias("df"))
+def document_frequency(chunks: DataFrame, stopwords: bool = False) -> DataFrame:
+    """``term, df``: chunks per word. What a partition holds of a word is added up before the shuffle."""
+    tokens = words(F.col("body")) if stopwords else search_terms(F.col("body"))
+    return chunks.select(F.explode(F.array_distinct(tokens)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
 def prune_frequent(df: DataFrame, n_chunks: DataFrame, share: float = 0.3) -> DataFrame:
@@ -42,28 +61,103 @@ def top_k(scored: DataFrame, k: int, score: str = "score", item: str = "chunk_id
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def or_search(terms: DataFrame, posts: DataFrame, k: int = 10) -> DataFrame:
-    """``query_id, chunk_id, score, rank``: chunks that hold any of the terms, by 0.1 per occurrence."""
-    hits = terms.select("query_id", "term").join(posts, "term")
-    scored = hits.groupBy("query_id", "chunk_id").agg((F.sum("tf") * 0.1).alias("score"))
-    return top_k(scored, k)
+class _Weights:
+    """Weights of the terms of some queries, by term: queries ``query[first[t]:first[t + 1]]`` have term ``t``."""
+
+    def __init__(self, rows: pd.DataFrame):
+        self.terms, term = np.unique(rows["term"].to_numpy(object).astype(str), return_inverse=True)
+        self.queries, query = np.unique(rows["query_id"].to_numpy(object).astype(str), return_inverse=True)
+        order = np.argsort(term, kind="stable")
+        self.query, self.weight = query[order], rows["weight"].to_numpy(float)[order]
+        self.first = np.searchsorted(term[order], np.arange(len(self.terms) + 1))
+
+
+def _best_of_batch(batch: pa.RecordBatch, w: _Weights, impact, k: int) -> Iterator[pa.RecordBatch]:
+    """The k best chunks of a batch for each query, ties to the smaller id."""
+    names = np.array(batch.column("chunk_id").to_pylist(), object).astype(str)
+    place = np.empty(len(names), np.int64)
+    by_name = np.argsort(names, kind="stable")
+    place[by_name] = np.arange(len(names))
+    posts = batch.column("posts")
+    flat = posts.flatten()
+    sizes = pc.fill_null(pc.list_value_length(posts), 0).to_numpy()
+    term = pc.fill_null(pc.index_in(flat.field("item"), value_set=pa.array(w.terms, pa.string())), -1).to_numpy()
+    chunk = place[np.repeat(np.arange(len(names)), sizes)]
+    known = term >= 0
+    term, chunk = term[known], chunk[known]
+    value = impact(flat.field("n").to_numpy(zero_copy_only=False)[known].astype(float), np.repeat(batch.column("dl").to_numpy(), sizes)[known].astype(float))
+    order = np.argsort(chunk, kind="stable")
+    term, chunk, value = term[order], chunk[order], value[order]
+    q_n, step = len(w.queries), max(1, _CELLS // max(1, len(w.queries)))
+    held_q, held_c, held_s = [], [], []
+    for lo in range(0, len(names), step):
+        a, b = np.searchsorted(chunk, [lo, lo + step])
+        n = w.first[term[a:b] + 1] - w.first[term[a:b]]
+        at = np.repeat(w.first[term[a:b]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        width = min(step, len(names) - lo)
+        cell = w.query[at] * width + np.repeat(chunk[a:b] - lo, n)
+        score = np.round(np.bincount(cell, w.weight[at] * np.repeat(value[a:b], n), minlength=q_n * width), 6).reshape(q_n, width)
+        kth = np.maximum(np.partition(score, width - min(k, width), axis=1)[:, width - min(k, width)], 1e-6)
+        q, c = np.nonzero(score >= kth[:, None])
+        held_q.append(q)
+        held_c.append(c + lo)
+        held_s.append(score[q, c])
+    q, c, s = (np.concatenate(x) if x else np.zeros(0, int) for x in (held_q, held_c, held_s))
+    order = np.lexsort((c, -s, q))
+    q, c, s = q[order], c[order], s[order]
+    good = np.arange(len(q)) - np.searchsorted(q, q) < k
+    if good.any():
+        yield pa.RecordBatch.from_arrays([pa.array(w.queries[q[good]], pa.string()), pa.array(names[by_name][c[good]], pa.string()), pa.array(s[good])], ["query_id", "chunk_id", "score"])
+
+
+def scored_top_k(chunks: DataFrame, weights: DataFrame, k: int, impact, stopwords: bool = False) -> DataFrame:
+    """``query_id, chunk_id, score, rank``: the k best of ``chunks`` (``chunk_id, body``) per query by the sum of weight x impact.
+
+    The weights (``query_id, term, weight``) are a stated query set: they are broadcast in parts of at most ``WEIGHT_ROWS`` rows, and a
+    chunk is scored against all queries of a part where it is read. A batch gives its k best per query; these alone are
+    shuffled, never pairs of chunks and queries. ``impact(tf, dl)`` works on whole columns. Scores are rounded to 6 decimals before
+    they are ranked, so the order of summing cannot turn a tie; chunks that score 0 are not found.
+    """
+    spark = chunks.sparkSession
+    weights = materialize(weights.where("query_id is not null and term is not null").select(F.col("query_id").cast("string"), "term", F.col("weight").cast("double")), "weights")
+    parts = max(1, -(-2 * weights.count() // WEIGHT_ROWS))  # parts by hash are not of one size
+    posts = counted(chunks.select(F.col("chunk_id").cast("string"), "body"), stopwords).select("chunk_id", "posts", "dl")
+    out = None
+    for part in range(parts):
+        rows = bounded_pandas(weights.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part), WEIGHT_ROWS, "weights of one part")
+        shared = spark.sparkContext.broadcast(_Weights(rows))
+
+        def score(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows and len(shared.value.terms):
+                    yield from _best_of_batch(batch, shared.value, impact, k)
+
+        found = posts.mapInArrow(score, "query_id string, chunk_id string, score double")
+        out = found if out is None else stacked(out, found)
+    return top_k(out, k)
+
+
+def or_search(terms: DataFrame, chunks: DataFrame, k: int = 10) -> DataFrame:
+    """``query_id, chunk_id, score, rank``: chunks that hold any of the terms (``query_id, term``), by 0.1 per occurrence."""
+    return scored_top_k(chunks, terms.select("query_id", "term", F.lit(0.1).alias("weight")), k, lambda tf, dl: tf)
 
 
-def bm25_search(questions: DataFrame, posts: DataFrame, k: int = 50, k1: float = 1.5, b: float = 0.75, allowed: DataFrame | None = None) -> DataFrame:
+def bm25_search(questions: DataFrame, chunks: DataFrame, k: int = 50, k1: float = 1.5, b: float = 0.75, allowed: DataFrame | None = None) -> DataFrame:
     """``query_id, chunk_id, score, rank`` by BM25 over each distinct word of a question without stopwords.
 
-    Frequencies and lengths are those of all chunks; ``allowed`` (``chunk_id``) limits only what is scored.
+    Frequencies and lengths are those of all ``chunks`` (``chunk_id, body``) that have words; ``allowed`` are the chunks that are scored,
+    by default all. Frequencies, the number of chunks and their lengths come from one pass.
     """
     terms = questions.select("query_id", F.explode(F.array_distinct(search_terms(F.col("question")))).alias("term"))
-    lengths = posts.select("chunk_id", "dl").distinct().agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    wanted = terms.select("term").distinct()
-    used = posts.join(wanted, "term", "left_semi")
-    df = document_frequency(used)
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    weights = used.join(df, "term").crossJoin(F.broadcast(lengths)).select("term", "chunk_id", part.alias("w"))
-    if allowed is not None:
-        weights = weights.join(allowed.select("chunk_id").distinct(), "chunk_id", "left_semi")
-    # rounded before ranking, so that the order of summing cannot turn a tie
-    scored = terms.join(weights, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum("w"), 6).alias("score"))
-    return top_k(scored, k)
+    tokens = chunks.select(search_terms(F.col("body")).alias("t")).where(F.size("t") > 0)
+    # the empty word stands for the chunk itself
+    marked = F.concat(F.array(F.struct(F.lit("").alias("term"), F.size("t").alias("dl"))), F.transform(F.array_distinct("t"), lambda x: F.struct(x.alias("term"), F.lit(0).alias("dl"))))
+    every = tokens.select(F.explode(marked).alias("e")).select("e.*")
+    stats = materialize(every.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("words")), "frequencies")
+    whole = stats.where("term = ''").first()
+    if whole is None:
+        return questions.sparkSession.createDataFrame([], "query_id string, chunk_id string, score double, rank int")
+    n, mean = whole["df"], whole["words"] / whole["df"]
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = terms.join(stats.where("term <> ''"), "term").select("query_id", "term", idf.alias("weight"))
+    return scored_top_k(chunks if allowed is None else allowed, weights, k, lambda tf, dl: tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / mean)))

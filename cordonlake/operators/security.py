@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ACL_ROWS = 100_000
+MAX_ROLES = 1_000
 
 
 def permitted(acl: DataFrame, role: str | None) -> DataFrame:
@@ -26,17 +27,28 @@ def secure_view(df: DataFrame, acl: DataFrame, role: str | None) -> DataFrame:
 
 
 def role_tenants(acl: DataFrame) -> DataFrame:
-    """``role_name, tenants`` (sorted) of every role."""
+    """``role_name, tenants`` (sorted) of every role; a role without tenants has an empty list."""
     return acl.groupBy("role_name").agg(F.array_sort(F.collect_set("tenant")).alias("tenants"))
 
 
-def access_matrix(acl: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Per role and tenant of the chunks: whether access is due, and the rows that the role sees of the tenant.
+def privileges_hold(spark, names: list[str]) -> None:
+    """Refuses to go on if any of these tables can be read past :func:`secure_view` through the session's catalog."""
+    if bare := [n for n in names if spark.catalog.tableExists(n)]:
+        raise PermissionError(f"readable without the access rules: {', '.join(bare)}")
 
-    Roles and tenants are counted in hundreds; chunks are counted per tenant before they meet the roles.
+
+def access_matrix(acl: DataFrame, chunks: DataFrame, seen: DataFrame) -> DataFrame:
+    """Per role and tenant of the chunks: whether access is due, the rows seen, and rows seen though none were due.
+
+    ``seen`` (``role, tenant, n``) is what was observed. Roles are at most ``MAX_ROLES``, and chunks are counted per tenant
+    before they meet the roles.
     """
-    held = chunks.where("tenant is not null").groupBy("tenant").agg(F.count("*").alias("n"))
-    roles = acl.select("role_name").distinct()
-    allowed = acl.distinct().withColumn("allowed", F.lit(True))
-    every = roles.crossJoin(held).join(allowed, ["role_name", "tenant"], "left")
-    return every.select("role_name", "tenant", F.coalesce("allowed", F.lit(False)).alias("allowed"), F.when(F.col("allowed"), F.col("n")).otherwise(0).alias("n_visible"))
+    roles = acl.select("role_name").where("role_name is not null").distinct()
+    if roles.limit(MAX_ROLES + 1).count() > MAX_ROLES:
+        raise ValueError(f"more than {MAX_ROLES} roles")
+    tenants = chunks.where("tenant is not null").select("tenant").distinct()
+    due = acl.select("role_name", "tenant").distinct().withColumn("due", F.lit(True))
+    got = seen.select(F.col("role").alias("role_name"), "tenant", "n")
+    every = tenants.crossJoin(F.broadcast(roles)).join(due, ["role_name", "tenant"], "left").join(got, ["role_name", "tenant"], "left")
+    n = F.coalesce("n", F.lit(0))
+    return every.select("role_name", "tenant", F.coalesce("due", F.lit(False)).alias("due"), n.alias("n_seen"), F.when(F.col("due").isNull(), n).otherwise(0).alias("n_leaked"))

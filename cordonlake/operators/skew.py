@@ -10,7 +10,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_STATE = "k string, part int, run int, rows long, orders long, first_order long, last_order long, max_gap long, total double"
+from cordonlake.session import stacked
+
+_STATE = "k string, part int, rows long, orders long, first_order long, last_order long, max_gap long, total double"
 
 
 def clean_label(column: Column | str) -> Column:
@@ -24,8 +26,8 @@ def clean_label(column: Column | str) -> Column:
 
 
 def _states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Partial states of the key runs of one sorted partition, a run cut where an Arrow batch ends."""
-    part, run = TaskContext.get().partitionId(), 0
+    """One partial state for each key of a sorted partition; the run that an Arrow batch leaves open goes on in the next."""
+    part, held = TaskContext.get().partitionId(), None
     for pdf in batches:
         if pdf.empty:
             continue
@@ -35,12 +37,25 @@ def _states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ends = np.append(starts[1:], len(code))
         gaps = np.diff(order, prepend=order[0])
         gaps[starts] = 0
-        yield pd.DataFrame({
-            "k": keys.to_numpy()[starts], "part": part, "run": run + np.arange(len(starts)), "rows": ends - starts,
+        out = pd.DataFrame({
+            "k": keys.to_numpy()[starts], "part": part, "rows": ends - starts,
             "orders": np.add.reduceat(gaps > 0, starts) + 1, "first_order": order[starts], "last_order": order[ends - 1],
             "max_gap": np.maximum.reduceat(gaps, starts), "total": np.add.reduceat(pdf["v"].to_numpy(), starts),
         })
-        run += len(starts)
+        if held is not None:
+            first = out.iloc[0]
+            if first["k"] == held["k"] or (pd.isna(first["k"]) and pd.isna(held["k"])):
+                seam = first["first_order"] - held["last_order"]
+                held |= {"rows": held["rows"] + first["rows"], "orders": held["orders"] + first["orders"] - (seam == 0), "last_order": first["last_order"],
+                         "max_gap": max(held["max_gap"], first["max_gap"], seam), "total": held["total"] + first["total"]}
+                out = out.iloc[1:]
+                if out.empty:
+                    continue
+            yield pd.DataFrame([held])
+        yield out.iloc[:-1]
+        held = out.iloc[-1].to_dict()
+    if held is not None:
+        yield pd.DataFrame([held])
 
 
 def ordered_by_key(df: DataFrame, key: Column, order: Column, value: Column | None = None, partitions: int | None = None) -> DataFrame:
@@ -48,7 +63,7 @@ def ordered_by_key(df: DataFrame, key: Column, order: Column, value: Column | No
 
     Method: range partitioning on (key, order, row number) with sampled quantiles, so that a key's share of the
     partitions follows its share of the rows; each partition is scanned once in order and gives one partial state
-    per run of a key; the states of a key, a few per partition it spans, are then stitched in partition order,
+    per key; the states of a key, a few per partition it spans, are then stitched in partition order,
     counting the gap and the repeated order value across each seam.
 
     Args:
@@ -72,9 +87,9 @@ def ordered_by_key(df: DataFrame, key: Column, order: Column, value: Column | No
     placed = rows.where("o is not null").repartitionByRange(partitions, "k", "o", "n").sortWithinPartitions("k", "o")
     states = placed.select("k", "o", "v").mapInPandas(_states, _STATE)
     unordered = rows.where("o is null").groupBy("k").agg(F.count("*").alias("rows"), F.sum("v").alias("total"))
-    states = states.unionByName(unordered, allowMissingColumns=True)
-    # a key has at most one state per Arrow batch it spans: the window sorts states, never rows
-    before = F.lag("last_order").over(Window.partitionBy("k").orderBy(F.col("part").asc_nulls_last(), "run"))
+    states = stacked(states, unordered, allow_missing=True)
+    # a key has one state per partition it spans: the window sorts states, never rows
+    before = F.lag("last_order").over(Window.partitionBy("k").orderBy(F.col("part").asc_nulls_last()))
     seam = F.col("first_order") - before
     stitched = states.select("*", seam.alias("seam"))
     return stitched.groupBy(F.col("k").alias("key")).agg(

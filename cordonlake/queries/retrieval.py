@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cordonlake.functions.providers import HashedWords, SharedWords, embed
 from cordonlake.operators import dense, fusion, lexical, security
 from cordonlake.queries.corpus import CHUNKS, chunks
-from cordonlake.session import table
+from cordonlake.session import stacked, table
 
 QUERIES, ORACLE = {}, {}
 EFS = [40, 100, 200]
@@ -40,36 +41,33 @@ def role_of(spark: SparkSession, sf_dir: str) -> str:
 
 _ROLE = "(SELECT role_name FROM (SELECT role_name, count(DISTINCT tenant) AS n FROM tenant_acl GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 2) ORDER BY n, role_name DESC LIMIT 1)"
 _STOP = "('the','and','for','that','this','with','from','not','any','all','shall','will','may','such','which','has','have','had','was','were','are','our','its','his','her','their','been','other','under','into','upon','than','then','there','these','those','each','also','including')"
+_QS = "qs AS (SELECT query_id, min(question) AS question FROM queries WHERE query_id IS NOT NULL AND question IS NOT NULL GROUP BY query_id)"
 _POSTS = CHUNKS + f""",
     tk AS (SELECT chunk_id, tenant, list_filter(regexp_extract_all(lower(body), '[a-z0-9]+'), lambda w: len(w) > 2 AND w NOT IN {_STOP}) AS t FROM kept),
     posts AS (SELECT chunk_id, tenant, len(t) AS dl, term, count(*) AS tf FROM (SELECT chunk_id, tenant, t, unnest(t) AS term FROM tk) GROUP BY ALL),
     df AS (SELECT term, count(*) AS df FROM posts GROUP BY term),
-    qs AS (SELECT query_id, min(question) AS question FROM queries WHERE query_id IS NOT NULL AND question IS NOT NULL GROUP BY query_id)"""
+    {_QS}"""
 _TERMS = _POSTS + """,
     pruned AS (SELECT * FROM df WHERE df < 0.3 * (SELECT count(*) FROM kept)),
     qt AS (SELECT DISTINCT query_id, unnest(list_filter(regexp_extract_all(lower(question), '[a-z0-9]+'), lambda w: len(w) > 2)) AS term FROM qs),
     terms AS (SELECT query_id, term, df FROM qt LEFT JOIN pruned USING (term) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY df NULLS LAST, term) <= 8)"""
 _LEX = _TERMS + """,
-    lex AS (SELECT query_id, chunk_id, tenant, sum(tf) * 0.1 AS score FROM terms JOIN posts USING (term) GROUP BY ALL),
-    lexical AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM lex QUALIFY rank <= 10)"""
+    lex AS (SELECT query_id, chunk_id, tenant, round(sum(tf) * 0.1, 6) AS score FROM terms JOIN posts USING (term) GROUP BY ALL),
+    lexical AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM lex QUALIFY rank <= 20)"""
 
 
-def _posts(spark, sf_dir):
-    return lexical.postings(chunks(spark, sf_dir))
+def _terms(spark: SparkSession, sf_dir: str, asked: DataFrame) -> DataFrame:
+    """The rarest words of each question; frequencies are those of all chunks."""
+    c = chunks(spark, sf_dir)
+    return lexical.selective_terms(asked, lexical.prune_frequent(lexical.document_frequency(c), c.agg(F.count("*").alias("n"))))
 
 
-def _terms(spark: SparkSession, sf_dir: str, posts: DataFrame) -> DataFrame:
-    n = chunks(spark, sf_dir).agg(F.count("*").alias("n"))
-    return lexical.selective_terms(questions(spark, sf_dir), lexical.prune_frequent(lexical.document_frequency(posts), n))
-
-
-def _lexical(spark: SparkSession, sf_dir: str, role: str | None = None, k: int = 10) -> DataFrame:
-    """The frequencies are those of all chunks; a role's chunks are picked before anything is ranked."""
-    posts = _posts(spark, sf_dir)
-    terms = _terms(spark, sf_dir, posts)
+def _lexical(spark: SparkSession, sf_dir: str, asked: DataFrame, role: str | None = None, k: int = 20) -> DataFrame:
+    """A role's chunks are picked before anything is ranked."""
+    c = chunks(spark, sf_dir)
     if role:
-        posts = lexical.postings(security.secure_view(chunks(spark, sf_dir), acl(spark, sf_dir), role))
-    return lexical.or_search(terms, posts, k)
+        c = security.secure_view(c, acl(spark, sf_dir), role)
+    return lexical.or_search(_terms(spark, sf_dir, asked), c, k)
 
 
 @query("SELECT role_name, count(DISTINCT tenant) AS n_tenants, md5(string_agg(DISTINCT tenant, ',' ORDER BY tenant)) AS tenants FROM tenant_acl GROUP BY role_name")
@@ -78,36 +76,46 @@ def permitted_tenants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return security.role_tenants(acl(spark, sf_dir)).select("role_name", F.size("tenants").cast("long").alias("n_tenants"), F.md5(F.array_join("tenants", ",")).alias("tenants"))
 
 
-@query(f"""WITH {CHUNKS}, n AS (SELECT tenant, count(*) AS n FROM kept WHERE tenant IS NOT NULL GROUP BY tenant), r AS (SELECT DISTINCT role_name FROM tenant_acl), a AS (SELECT DISTINCT role_name, tenant, true AS ok FROM tenant_acl)
-    SELECT r.role_name, n.tenant, coalesce(ok, false) AS allowed, CASE WHEN ok THEN n ELSE 0 END AS n_visible FROM r CROSS JOIN n LEFT JOIN a ON a.role_name = r.role_name AND a.tenant = n.tenant""")
+def _seen(spark: SparkSession, sf_dir: str, roles: list[str | None]) -> DataFrame:
+    """``role, tenant, n`` of what each role sees through the secured view, the only way in; nothing else limits the rows."""
+    held, rules = chunks(spark, sf_dir).select("tenant"), acl(spark, sf_dir)
+    parts = [security.secure_view(held, rules, r).groupBy("tenant").agg(F.count("*").alias("n")).select(F.lit(r).alias("role"), "tenant", "n") for r in roles]
+    return stacked(*parts)
+
+
+@query(f"""WITH {CHUNKS}, r AS (SELECT DISTINCT role_name FROM tenant_acl), t AS (SELECT DISTINCT tenant FROM kept WHERE tenant IS NOT NULL), n AS (SELECT tenant, count(*) AS n FROM kept GROUP BY tenant)
+    SELECT r.role_name, t.tenant, EXISTS (SELECT 1 FROM tenant_acl a WHERE a.role_name = r.role_name AND a.tenant = t.tenant) AS due, CASE WHEN EXISTS (SELECT 1 FROM tenant_acl a WHERE a.role_name = r.role_name AND a.tenant = t.tenant) THEN n.n ELSE 0 END AS n_seen, 0::BIGINT AS n_leaked FROM r CROSS JOIN t JOIN n USING (tenant)""")
 def role_tenant_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each role may see of each tenant."""
-    return security.access_matrix(acl(spark, sf_dir), chunks(spark, sf_dir))
+    """Per role and tenant whether access is due, and what the role sees of the tenant through the secured view; leaks would be counted."""
+    roles = [r[0] for r in acl(spark, sf_dir).select("role_name").distinct().orderBy("role_name").limit(security.MAX_ROLES + 1).collect()]
+    return security.access_matrix(acl(spark, sf_dir), chunks(spark, sf_dir), _seen(spark, sf_dir, roles))
 
 
-@query(f"""WITH {CHUNKS} SELECT r.role AS role, count(kept.chunk_id) AS n_visible FROM (SELECT unnest(['', ' ', '*', 'ALL_TENANTS', 'all_tenants ', '%', 'nobody', 'all_tenants''--', 'all_tenants']) AS role) r
+FORGED_ROLES = ["", " ", "*", "ALL_TENANTS", "all_tenants ", "%", "nobody", "all_tenants'--", "analyst_mid", "Analyst_Mid", "ANALYST_MID", "analyst_mid\x00", "аnalyst_mid", "single_tenant", "single_tenant,all_tenants"]
+
+
+@query(f"""WITH {CHUNKS}, r AS (SELECT unnest([{", ".join("'" + r.replace("'", "''").replace(chr(0), "' || chr(0) || '") + "'" for r in FORGED_ROLES)}]) AS role) SELECT r.role AS role, count(kept.chunk_id) AS n_visible, count(DISTINCT kept.tenant) AS n_tenants FROM r
     LEFT JOIN (SELECT DISTINCT role_name, tenant FROM tenant_acl) a ON a.role_name = r.role LEFT JOIN kept ON kept.tenant = a.tenant GROUP BY r.role""")
 def forged_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks that forged names of roles see, beside the one that exists; names match exactly."""
-    names = ["", " ", "*", "ALL_TENANTS", "all_tenants ", "%", "nobody", "all_tenants'--", "all_tenants"]
-    roles = spark.range(1).select(F.explode(F.array(*map(F.lit, names))).alias("role"))
-    counts = chunks(spark, sf_dir).where("tenant is not null").groupBy("tenant").agg(F.count("*").alias("n"))
-    seen = acl(spark, sf_dir).distinct().join(counts, "tenant").groupBy(F.col("role_name").alias("role")).agg(F.sum("n").alias("n"))
-    return roles.join(seen, "role", "left").select("role", F.coalesce("n", F.lit(0)).alias("n_visible"))
+    """What forged names of roles see through the secured view, beside names that exist; names match exactly."""
+    roles = spark.range(1).select(F.explode(F.array(*map(F.lit, FORGED_ROLES))).alias("role"))
+    seen = _seen(spark, sf_dir, FORGED_ROLES).groupBy("role").agg(F.sum("n").alias("n"), F.count("*").alias("t"))
+    return roles.join(seen, "role", "left").select("role", F.coalesce("n", F.lit(0)).alias("n_visible"), F.coalesce("t", F.lit(0)).alias("n_tenants"))
 
 
-@query(f"""WITH {CHUNKS}, p AS (SELECT DISTINCT tenant FROM tenant_acl WHERE role_name = {_ROLE}) SELECT tenant, count(*) AS n_chunks, true AS allowed FROM kept WHERE tenant IN (FROM p) GROUP BY tenant""")
+@query(f"""WITH {CHUNKS}, p AS (SELECT DISTINCT tenant FROM tenant_acl WHERE role_name = {_ROLE}) SELECT tenant, count(*) AS n_chunks, count(*) AS n_with_predicate FROM kept WHERE tenant IN (FROM p) GROUP BY tenant""")
 def predicate_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per tenant the chunks that a role sees through the secured view alone; none of another tenant may be among them."""
+    """Per tenant the chunks that a role sees through the secured view alone, and with the predicate on top: they must agree."""
     role, rules = role_of(spark, sf_dir), acl(spark, sf_dir)
-    seen = security.secure_view(chunks(spark, sf_dir), rules, role).groupBy("tenant").agg(F.count("*").alias("n_chunks"))
-    return seen.join(security.permitted(rules, role).withColumn("ok", F.lit(True)), "tenant", "left").select("tenant", "n_chunks", F.coalesce("ok", F.lit(False)).alias("allowed"))
+    seen = security.secure_view(chunks(spark, sf_dir).select("tenant"), rules, role)
+    mine = security.permitted(rules, role).withColumn("ok", F.lit(True))
+    return seen.join(F.broadcast(mine), "tenant", "left").groupBy("tenant").agg(F.count("*").alias("n_chunks"), F.count("ok").alias("n_with_predicate"))
 
 
 @query(f"WITH {_POSTS} SELECT term, df FROM df")
 def lexeme_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks per search term."""
-    return lexical.document_frequency(_posts(spark, sf_dir))
+    return lexical.document_frequency(chunks(spark, sf_dir))
 
 
 @query(f"WITH {_TERMS} SELECT term, df FROM pruned")
@@ -119,20 +127,20 @@ def lexeme_df_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_TERMS} SELECT query_id, term, df FROM terms")
 def selective_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The eight rarest words of each question."""
-    return _terms(spark, sf_dir, _posts(spark, sf_dir))
+    return _terms(spark, sf_dir, questions(spark, sf_dir))
 
 
-@query(f"WITH {_LEX} SELECT query_id, chunk_id, round(score, 6) AS score, rank::INTEGER AS rank FROM lexical")
+@query(f"WITH {_LEX} SELECT query_id, chunk_id, round(score, 6) AS score, rank::INTEGER AS rank FROM lexical WHERE rank <= 10")
 def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best chunks of every question by its rarest words."""
-    return _lexical(spark, sf_dir).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    return _lexical(spark, sf_dir, questions(spark, sf_dir), k=10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"""WITH {_LEX}, s AS (SELECT * FROM lex WHERE tenant IN (SELECT tenant FROM tenant_acl WHERE role_name = {_ROLE}))
     SELECT query_id, chunk_id, round(score, 6) AS score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 10""")
 def lexical_topk_secure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same among the chunks that a role may read."""
-    return _lexical(spark, sf_dir, role_of(spark, sf_dir)).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    return _lexical(spark, sf_dir, questions(spark, sf_dir), role_of(spark, sf_dir), 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 _BM25 = _POSTS + f""",
@@ -141,18 +149,18 @@ _BM25 = _POSTS + f""",
     bs AS (SELECT query_id, chunk_id, tenant, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM bq JOIN posts USING (term) JOIN df USING (term), st GROUP BY ALL)"""
 
 
-@query(f"WITH {_BM25} SELECT query_id, chunk_id, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM bs) WHERE rank <= 10")
+@query(f"WITH {_BM25} SELECT query_id, chunk_id, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM bs) WHERE rank <= 50")
 def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten best chunks of every question by BM25."""
-    return lexical.bm25_search(questions(spark, sf_dir), _posts(spark, sf_dir), 10).select("query_id", "chunk_id", "rank")
+    """The fifty best chunks of every question by BM25."""
+    return lexical.bm25_search(questions(spark, sf_dir), chunks(spark, sf_dir), 50).select("query_id", "chunk_id", "rank")
 
 
 @query(f"""WITH {_BM25} SELECT query_id, chunk_id, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM bs
-    WHERE tenant IN (SELECT tenant FROM tenant_acl WHERE role_name = {_ROLE})) WHERE rank <= 10""")
+    WHERE tenant IN (SELECT tenant FROM tenant_acl WHERE role_name = {_ROLE})) WHERE rank <= 50""")
 def bm25_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 with the statistics of all chunks, ranked among those that a role may read."""
     allowed = security.secure_view(chunks(spark, sf_dir), acl(spark, sf_dir), role_of(spark, sf_dir))
-    return lexical.bm25_search(questions(spark, sf_dir), _posts(spark, sf_dir), 10, allowed=allowed).select("query_id", "chunk_id", "rank")
+    return lexical.bm25_search(questions(spark, sf_dir), chunks(spark, sf_dir), 50, allowed=allowed).select("query_id", "chunk_id", "rank")
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,46 +252,58 @@ def postfilter_slices_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _slices(spark, sf_dir, ALL_EFS)
 
 
-def _dense_by_question(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks most similar to the first source chunk of a question, which stands for the question's own vector."""
-    rows = table(spark, sf_dir, "rls_demo")
-    v = dense.usable(rows)
-    names = rows.where("chunk_id is not null").groupBy("id").agg(F.min("chunk_id").alias("chunk_id")).select(F.col("id").cast("long").alias("id"), "chunk_id")
-    source = table(spark, sf_dir, "queries").where("query_id is not null").groupBy("query_id").agg(F.min(F.element_at("source_chunk_ids", 1)).alias("chunk_id"))
-    seeds = source.join(names.groupBy("chunk_id").agg(F.min("id").alias("seed")), "chunk_id").select("query_id", "seed")
-    found = dense.exact_top_k(v.join(seeds.select(F.col("seed").alias("id")).distinct(), "id", "left_semi"), v)
-    return seeds.join(found.withColumnRenamed("query_id", "seed"), "seed").join(names, "id").select("query_id", "chunk_id", "rank")
+def _dense_by_question(spark: SparkSession, sf_dir: str, asked: DataFrame, k: int = 20) -> DataFrame:
+    """Questions and chunks through the same embedding model; hashed words stand in for it."""
+    model = HashedWords()
+    found = dense.exact_top_k(embed(asked, "query_id", "question", model), embed(chunks(spark, sf_dir), "chunk_id", "body", model, "tenant"), k, with_itself=True)
+    return found.select("query_id", F.col("id").alias("chunk_id"), "score", "rank")
 
 
-_FUSE = _LEX + """,
-    ok AS (SELECT id, tenant, embedding, row_number() OVER (PARTITION BY id ORDER BY tenant NULLS FIRST) AS rn FROM rls_demo WHERE len(embedding) = 384 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-    v AS (SELECT id::BIGINT AS id, embedding::DOUBLE[384] AS e FROM ok WHERE rn = 1), nm AS (SELECT id, min(chunk_id) AS chunk_id FROM rls_demo WHERE chunk_id IS NOT NULL GROUP BY id),
-    so AS (SELECT query_id, min(source_chunk_ids[1]) AS chunk_id FROM queries WHERE query_id IS NOT NULL GROUP BY query_id), seeds AS (SELECT query_id, seed FROM so JOIN (SELECT chunk_id, min(id) AS seed FROM nm GROUP BY chunk_id) USING (chunk_id)),
-    ds AS (SELECT q.id AS seed, d.id, round(array_cosine_similarity(q.e, d.e), 6) AS score FROM v q JOIN v d ON q.id <> d.id WHERE q.id IN (SELECT seed FROM seeds)),
-    dt AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY score DESC, id) AS rank FROM ds QUALIFY rank <= 10), dense AS (SELECT query_id, nm.chunk_id, rank FROM seeds JOIN dt USING (seed) JOIN nm ON nm.id = dt.id),
+_EMBEDDED = f"""cbk AS (SELECT chunk_id, b, count(*) AS n FROM (SELECT chunk_id, ('0x' || substr(md5(unnest(t)), 1, 6))::INTEGER % 384 AS b FROM tk) GROUP BY ALL), cn AS (SELECT chunk_id, sqrt(sum(n * n)) AS norm FROM cbk GROUP BY chunk_id),
+    qw AS (SELECT query_id, list_filter(regexp_extract_all(lower(question), '[a-z0-9]+'), lambda w: len(w) > 2 AND w NOT IN {_STOP}) AS t FROM qs),
+    qbk AS (SELECT query_id, b, count(*) AS n FROM (SELECT query_id, ('0x' || substr(md5(unnest(t)), 1, 6))::INTEGER % 384 AS b FROM qw) GROUP BY ALL), qn AS (SELECT query_id, sqrt(sum(n * n)) AS norm FROM qbk GROUP BY query_id),
+    dsc AS (SELECT query_id, chunk_id, round(sum(q.n * c.n) / any_value(qn.norm) / any_value(cn.norm), 6) AS score FROM qbk q JOIN cbk c USING (b) JOIN qn USING (query_id) JOIN cn USING (chunk_id) GROUP BY query_id, chunk_id),
+    dense AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM dsc QUALIFY rank <= 20)"""
+_FUSE = _LEX + f""", {_EMBEDDED},
     fu AS (SELECT coalesce(l.query_id, d.query_id) AS query_id, coalesce(l.chunk_id, d.chunk_id) AS chunk_id, l.rank AS lexical_rank, d.rank AS dense_rank, round(coalesce(1 / (60 + l.rank), 0) + coalesce(1 / (60 + d.rank), 0), 9) AS rrf
         FROM (SELECT query_id, chunk_id, rank FROM lexical) l FULL OUTER JOIN dense d ON l.query_id = d.query_id AND l.chunk_id = d.chunk_id),
     fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, coalesce(lexical_rank, 999999999), chunk_id) AS rank FROM fu)"""
 
 
+def _fused(spark: SparkSession, sf_dir: str, asked: DataFrame, k: int = 10) -> DataFrame:
+    return fusion.reciprocal_rank(_lexical(spark, sf_dir, asked), _dense_by_question(spark, sf_dir, asked), k)
+
+
 @query(f"WITH {_FUSE} SELECT query_id, chunk_id, lexical_rank::INTEGER AS lexical_rank, dense_rank::INTEGER AS dense_rank, rank::INTEGER AS rank FROM fused WHERE rank <= 10")
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lexical and dense lists fused by reciprocal ranks."""
-    return fusion.reciprocal_rank(_lexical(spark, sf_dir), _dense_by_question(spark, sf_dir)).select("query_id", "chunk_id", "lexical_rank", "dense_rank", "rank")
+    """Lexical and dense lists of 20 fused by reciprocal ranks."""
+    return _fused(spark, sf_dir, questions(spark, sf_dir)).select("query_id", "chunk_id", "lexical_rank", "dense_rank", "rank")
 
 
 @query(f"WITH {_FUSE} SELECT query_id, count_if(lexical_rank IS NOT NULL AND dense_rank IS NOT NULL) AS n_both, count_if(dense_rank IS NULL) AS n_lexical_only, count_if(lexical_rank IS NULL) AS n_dense_only FROM fu GROUP BY query_id")
 def retrieval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the two lists of a question share."""
-    return fusion.overlap(_lexical(spark, sf_dir), _dense_by_question(spark, sf_dir))
+    asked = questions(spark, sf_dir)
+    return fusion.overlap(_lexical(spark, sf_dir, asked), _dense_by_question(spark, sf_dir, asked))
+
+
+_RERANKED = f"""{_FUSE}, f50 AS (SELECT * FROM fused WHERE rank <= 50), qd AS (SELECT query_id, list_distinct(t) AS t FROM qw), dw AS (SELECT chunk_id, list_distinct(t) AS t FROM tk),
+    rs AS (SELECT f50.query_id, f50.chunk_id, f50.rank AS was, round(CASE WHEN len(qd.t) = 0 THEN 0 ELSE len(list_intersect(qd.t, dw.t)) / len(qd.t) END, 6) AS score FROM f50 JOIN qd USING (query_id) JOIN dw USING (chunk_id)),
+    reranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, was) AS rank FROM rs QUALIFY rank <= 10)"""
+
+
+def _reranked(spark: SparkSession, sf_dir: str, asked: DataFrame) -> DataFrame:
+    return fusion.rerank(_fused(spark, sf_dir, asked, 50), asked, chunks(spark, sf_dir), SharedWords())
+
+
+@query(f"WITH {_RERANKED} SELECT query_id, chunk_id, was::INTEGER AS was, score, rank::INTEGER AS rank FROM reranked")
+def rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fused list read again by a scoring model: ten of up to fifty; shared words stand in for the model."""
+    return _reranked(spark, sf_dir, questions(spark, sf_dir)).select("query_id", "chunk_id", "was", "score", "rank")
 
 
-@query(f"""WITH {_FUSE}, f10 AS (SELECT * FROM fused WHERE rank <= 10), re AS (SELECT f10.query_id, f10.chunk_id, f10.rank AS was, row_number() OVER (PARTITION BY f10.query_id ORDER BY coalesce(lex.score, 0) DESC, f10.chunk_id) AS rank FROM f10 LEFT JOIN lex ON lex.query_id = f10.query_id AND lex.chunk_id = f10.chunk_id)
-    SELECT query_id, max(was - rank)::INTEGER AS max_promotion, count_if(was = rank) AS n_unchanged FROM re GROUP BY query_id""")
+@query(f"WITH {_RERANKED} SELECT query_id, max(was - rank)::INTEGER AS max_promotion, count_if(was = rank) AS n_unchanged FROM reranked GROUP BY query_id")
 def rerank_movement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How the fused list moves when it is ranked again by the occurrences of the rarest words."""
-    posts = _posts(spark, sf_dir)
-    fused = fusion.reciprocal_rank(_lexical(spark, sf_dir), _dense_by_question(spark, sf_dir))
-    hits = _terms(spark, sf_dir, posts).select("query_id", "term").join(posts, "term").groupBy("query_id", "chunk_id").agg(F.sum("tf").alias("s"))
-    again = lexical.top_k(fused.select("query_id", "chunk_id").join(hits, ["query_id", "chunk_id"], "left").withColumn("score", F.coalesce("s", F.lit(0))), 10)
-    return fusion.movement(fused, again)
+    """How far chunks move when the fused list is ranked again."""
+    again = _reranked(spark, sf_dir, questions(spark, sf_dir))
+    return fusion.movement(again.select("query_id", "chunk_id", F.col("was").alias("rank")), again)

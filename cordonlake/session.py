@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,6 +15,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unique_rows(df: DataFrame, key: str, order: list[str] | None = None, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """``df`` with one row per ``key``: the first by ``order`` (nulls first), then by place; rows with a null key are left out.
+
+    Read from files, the rows to leave out are named by their file and row number, so only keys and ``order`` are shuffled
+    and not whole rows; they are broadcast while there are at most ``broadcast_rows`` of them (counted here, by a job).
+    """
+    order = order or []
+    kept = df.where(F.col(key).isNotNull())
+    try:
+        placed = kept.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    except AnalysisException:  # not from files
+        if not order:
+            return kept.dropDuplicates([key])
+        rest = [c for c in df.columns if c not in (key, *order)]
+        first = kept.groupBy(key).agg(F.min(F.struct(*order, *rest)).alias("_first"))
+        return first.select(key, "_first.*").select(df.columns)
+    at = F.struct(*order, "_file", "_row")
+    repeated = placed.groupBy(key).agg(F.count("*").alias("_n"), F.min(at).alias("_first")).where("_n > 1").drop("_n")
+    surplus = placed.select(key, at.alias("_at")).join(repeated, key).where("_at <> _first").select("_at._file", "_at._row")
+    if surplus.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        surplus = F.broadcast(surplus)
+    return placed.join(surplus, ["_file", "_row"], "left_anti").drop("_file", "_row")
+
+
+def stacked(*frames: DataFrame, allow_missing: bool = False) -> DataFrame:
+    """The rows of all frames, columns by name.
+
+    Spark 4.1 takes a union of frames that are partitioned on a key as partitioned on it, and leaves out the shuffle before a
+    grouping; when adaptive execution has merged partitions of one of them, a key's rows stay apart and groups come out twice.
+    The setting is switched off for the session.
+    """
+    frames[0].sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=allow_missing)
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor reaches, from ``spark.checkpoint.dir``.
 

@@ -31,8 +31,11 @@ def read_manifest(spark: SparkSession, path: str, schema: str | StructType) -> D
 
 def verify_files(manifest: DataFrame, folder: str) -> DataFrame:
     """``path, state`` of a manifest (``path, bytes, checksum``; path relative to the folder): ``ok``, ``missing``, ``length``, ``checksum``."""
-    files = manifest.sparkSession.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    found = files.select(F.element_at(F.split("path", "/"), -1).alias("path"), "length", F.sha2("content", 256).alias("sum"))
+    spark = manifest.sparkSession
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    whole = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(root).toString().rstrip("/") + "/"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    found = files.select(F.substring("path", len(whole) + 1, F.lit(1 << 30)).alias("path"), "length", F.sha2("content", 256).alias("sum"))
     state = F.when(F.col("sum").isNull(), "missing").when(F.col("length") != F.col("bytes"), "length").when(F.col("sum") != F.col("checksum"), "checksum").otherwise("ok")
     return manifest.join(found, "path", "left").select("path", state.alias("state"))
 
@@ -55,7 +58,7 @@ class _Blocks(HTMLParser):
             self.skip += 1
         if tag in ("p", "div", "td", "li", "br", "hr", "tr", "h1", "h2", "h3", "h4", "h5", "h6"):
             self._close()
-        if tag == "hr" or any(k == "style" and "page-break" in (v or "") for k, v in attrs):
+        if tag == "hr" or any(k == "style" and "page-break" in (v or "").lower() for k, v in attrs):
             self.page += 1
 
     def handle_endtag(self, tag: str) -> None:
@@ -69,11 +72,20 @@ class _Blocks(HTMLParser):
             self.part.append(data)
 
 
+def _item_label(line: str) -> str | None:
+    """``ITEM n`` of a line that opens an item of a filing: the word, a number with A or B at most, and a full stop, dash or colon."""
+    first, _, rest = line.partition(" ")
+    if first.upper() != "ITEM" or len(line) >= 120:
+        return None
+    digits = len(rest) - len(rest.lstrip("0123456789"))
+    letter = rest[digits : digits + 1].upper() if digits else ""
+    letter = letter if letter in ("A", "B") else ""
+    after = rest[digits + len(letter) :].lstrip()
+    return f"ITEM {rest[:digits]}{letter}" if digits and after[:1] in (".", "-", "—", ":") and after else None
+
+
 def html_blocks(pages: DataFrame) -> DataFrame:
     """``doc_id, block, page, section, text`` of ``doc_id, html``. A null or empty page has no blocks; broken markup is read as far as it goes."""
-    import re
-
-    item = re.compile(r"^\s*ITEM\s+(\d+[AB]?)\s*[.\-—:]", re.I)
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -85,8 +97,7 @@ def html_blocks(pages: DataFrame) -> DataFrame:
                 parser._close()
                 section = "preamble"
                 for i, (page, text) in enumerate(parser.blocks):
-                    if len(text) < 120 and (m := item.match(text)):
-                        section = f"ITEM {m[1].upper()}"
+                    section = _item_label(text) or section
                     rows.append((doc, i, page, section, text))
             yield pd.DataFrame(rows, columns=["doc_id", "block", "page", "section", "text"])
 
@@ -95,5 +106,6 @@ def html_blocks(pages: DataFrame) -> DataFrame:
 
 def write_with_provenance(df: DataFrame, path: str, describes: str, generated_by: str, source: dict[str, str]) -> None:
     """JSON lines, each row under ``payload`` beside what it is and where it comes from."""
+    # The names describes, generated_by, source and payload are the file format.
     sources = F.create_map(*[F.lit(x) for kv in sorted(source.items()) for x in kv]) if source else F.lit(None).cast("map<string,string>")
     df.select(F.lit(describes).alias("describes"), F.lit(generated_by).alias("generated_by"), sources.alias("source"), F.struct(*df.columns).alias("payload")).write.json(path)
