@@ -12,19 +12,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cordonlake.llm.linear import Features, LinearModel, ngrams
+from cordonlake.llm.language import Languages
+from cordonlake.llm.linear import Features, LinearModel, hash_sample, ngrams
 
 DEFECTS = ["empty", "truncated", "refusal", "copies_question", "other_language"]
 
-# Frequent function words of the languages that are told apart.
-FUNCTION_WORDS = {
-    "en": "the of and to in is that for with as was by on be not this are from has have which must may shall will what who when where how why does did each any its it can before after between under".split(),
-    "de": "der die das und zu den von ist mit nicht des dem ein eine einen auf für im werden wird nach bis wann welche wenn es um muss kann darf ab beträgt innerhalb gilt jede gegenüber zum aus soll darf nicht möchte vor ende jede jeder in voller ohne bei über zur".split(),
-    "fr": "le la les de des du et à dans pour que qui un une est sur par pas avec selon ce cette sont quel quelle doit dans jours dispose peut elle il son sa ses au aux devant ne pas contre sans sous avant après chaque souhaite".split(),
-    "es": "el la los las de del y que en por para un una es con no según se su sus qué cuál plazo debe tiene puede cada al cuánto días ante parte cuando durante hasta sobre contra entre está sin deberá a".split(),
-}
-_LANGUAGE = {w: [k for k, ws in FUNCTION_WORDS.items() if w in ws] for ws in FUNCTION_WORDS.values() for w in ws}
-
 # Wording of the made-up defects and of harmless additions to good answers.
 NOTHING = ["", " ", "\n", "\t", "​", "\xa0", "-", "--", "—", "?", ".", "...", "…", "''", '""', "[]", "{}", "()", "n/a", "N/A", "n.a.", "na", "nil", "null", "NULL", "None", "none", "TBD", "tbd", "(no answer)",
            "<empty>", "(empty)", "<none>", "[no answer]", "no answer", "unknown", "not available", "not applicable", "to be determined", "_", "***", "(blank)", "<null>", "undefined", "NaN"]
@@ -48,16 +40,33 @@ _QUOTED = re.compile(r"“[^”]*”|\"[^\"]*\"|«[^»]*»|\[[^\]]*\]")
 _END = re.compile(r"[.!?…][\"”’»)\]]*\s*$|[\])]\s*$")
 
 
-def _languages(text: str) -> dict[str, float]:
-    hits = dict.fromkeys(FUNCTION_WORDS, 0.0)
-    for w in _WORD.findall(_QUOTED.sub(" ", text).lower()):
-        for k in _LANGUAGE.get(w, ()):
-            hits[k] += 1 / len(_LANGUAGE[w])
-    return hits
+def frequent_words(pairs: list[tuple[str, str, str]], least: float = 0.02) -> frozenset[str]:
+    """Words that at least ``least`` of the pairs have: mostly such that carry no content, in whatever languages there are."""
+    seen: dict[str, int] = {}
+    for p in pairs:
+        for w in {w for x in p for w in _WORD.findall(x.lower())}:
+            seen[w] = seen.get(w, 0) + 1
+    return frozenset(w for w, n in seen.items() if n >= max(2, least * len(pairs)) and w.isalpha())
+
+
+class PairReader:
+    """Features of pairs, with what was learnt of their languages and of their frequent words."""
+
+    def __init__(self, languages: Languages, frequent: frozenset[str]):
+        self.languages, self.frequent = languages, frequent
+
+    def shares(self, texts: list[str]) -> np.ndarray:
+        return self.languages.shares([_QUOTED.sub(" ", t or "") for t in texts])
 
+    def features(self, pairs: list[tuple[str | None, str | None, str | None]]) -> list[Features]:
+        if not pairs:
+            return []
+        asked, given = self.shares([q for q, _, _ in pairs]), self.shares([a for _, a, _ in pairs])
+        return [pair_features(*p, self.frequent, lq, la) for p, lq, la in zip(pairs, asked, given)]
 
-def pair_features(question: str | None, answer: str | None, quote: str | None) -> Features:
-    """Features of one pair; every text may be null or empty."""
+
+def pair_features(question: str | None, answer: str | None, quote: str | None, frequent: frozenset[str], lq: np.ndarray, la: np.ndarray) -> Features:
+    """Features of one pair; every text may be null or empty. ``lq`` and ``la`` are the shares of the languages of question and answer."""
     q, a, s = question or "", answer or "", quote or ""
     aw, qw, sw = ([re.sub(r"\d", "0", w) for w in _WORD.findall(x.lower())] for x in (a, q, s))
     f: Features = {"answer": 1.0}
@@ -79,11 +88,11 @@ def pair_features(question: str | None, answer: str | None, quote: str | None) -
     f[f"closes:{a.rstrip()[-1:] if not a.rstrip()[-1:].isalnum() else 'x'}"] = 1.0
     if not ended and bare:
         f["loose"] = min(1.0, len(last.split()) / 10)
-        f[f"loose function={bare[-1] in _LANGUAGE}"] = 2.0
+        f[f"loose function={bare[-1] in frequent}"] = 2.0
         f["loose new"] = float(bare[-1] not in qw and bare[-1] not in sw)
         f[f"loose case={last.split()[-1][:1].isupper()} short={len(bare[-1]) < 4}"] = 1.0
         f[f"loose list={a.lstrip()[:1] in '-*•'}"] = 1.0
-        f[f"loose starts={tail.lstrip()[:1].isupper()} verb={sum(w in _LANGUAGE for w in bare) >= 2}"] = 1.5
+        f[f"loose starts={tail.lstrip()[:1].isupper()} verb={sum(w in frequent for w in bare) >= 2}"] = 1.5
     # copies: what the answer adds to the question
     words_q = set(qw)
     new = [w for w in aw if w not in words_q]
@@ -101,21 +110,20 @@ def pair_features(question: str | None, answer: str | None, quote: str | None) -
         covered = sum(b.size for b in blocks) / len(qw)
         after = len(aw) - blocks[-1].b - blocks[-1].size
         f[f"in order={int(covered * 5)} after={min(after, 4)}"] = 4.0
-        f[f"in order={int(covered * 5)} new content={min(len([w for w in new if w not in _LANGUAGE]), 4)}"] = 3.0
+        f[f"in order={int(covered * 5)} new content={min(len([w for w in new if w not in frequent]), 4)}"] = 3.0
     f["from quote"] = len(set(aw) & set(sw)) / len(set(aw))
     # refusals say nothing on what was asked
-    content = {w for w in qw if w not in _LANGUAGE and len(w) > 3}
+    content = {w for w in qw if w not in frequent and len(w) > 3}
     on_topic = len(content & set(aw))
     f[f"on topic={min(on_topic, 4)} long={len(aw) > 4}"] = 1.5
     f["digits"] = float(any("0" in w for w in aw))
     f[f"first person={bool({'i', 'me', 'my', 'ich', 'je', 'we', 'us'} & set(aw))} topic={on_topic > 1}"] = 1.5
-    # language of the answer's own words, against the question's
-    lq, la = _languages(q), _languages(a)
-    total = sum(la.values())
-    if total and sum(lq.values()):
-        own = max(lq, key=lq.get)
-        f["other language"] = 5 * (1 - la[own] / total) * min(1.0, total / 3)
-        f[f"other={max(la, key=la.get) != own} hits={min(int(total), 3)}"] = 4.0
+    # language of the answer, against the question's; short answers tell little
+    letters = sum(c.isalpha() for c in tail)
+    if len(lq) > 1 and letters and any(c.isalpha() for c in q):
+        apart, sure = 1 - float(lq @ la), float(lq.max() * la.max())
+        f["other language"] = 5 * apart * min(1.0, letters / 20)
+        f[f"other={lq.argmax() != la.argmax()} sure={sure > 0.8} letters={min(letters // 8, 4)}"] = 4.0
     return f
 
 
@@ -151,20 +159,20 @@ def _copy(rng: random.Random, question: str, echoes: list[str]) -> str:
     return echo + (out[:1].lower() + out[1:] if echo and rng.random() < 0.5 else out)
 
 
-def _made_up(pairs: list[tuple[str, str, str]], rng: random.Random, wording: dict[str, list[str]]) -> tuple[list[tuple], list[str]]:
-    """Pairs with their label: as given, harmlessly changed, and with each kind of defect."""
-    by_language: dict[str, list[str]] = {}
-    for q, a, _ in pairs:
-        lang = _languages(q)
-        if sum(lang.values()) and len(a.split()) > 4:
-            by_language.setdefault(max(lang, key=lang.get), []).append(a)
+def _made_up(pairs: list[tuple[str, str, str]], spoken: list[int | None], rng: random.Random, wording: dict[str, list[str]]) -> tuple[list[tuple], list[str]]:
+    """Pairs with their label: as given, harmlessly changed, and with each kind of defect. ``spoken`` is the language of each pair, None where question
+    and answer do not show the same one."""
+    by_language: dict[int, list[str]] = {}
+    for (_, a, _), lang in zip(pairs, spoken):
+        if lang is not None and len(a.split()) > 4:
+            by_language.setdefault(lang, []).append(a)
     rows, labels, pool = [], [], []
 
     def add(q: str, a: str, s: str, label: str) -> None:
         rows.append((q, a, s))
         labels.append(label)
 
-    for q, a, s in pairs:
+    for (q, a, s), lang in zip(pairs, spoken):
         add(q, a, s, "")
         if len(a.split()) > 2:
             if rng.random() < 0.5:
@@ -195,8 +203,7 @@ def _made_up(pairs: list[tuple[str, str, str]], rng: random.Random, wording: dic
             add(q, rng.choice(REFUSALS_ABROAD) if rng.random() < 0.08 else text, s, "refusal")
         if rng.random() < 0.2:
             add(q, rng.choice(wording["NOTHING"]), s, "empty")
-        lang = _languages(q)
-        others = [k for k in by_language if sum(lang.values()) and k != max(lang, key=lang.get)]
+        others = [k for k in by_language if lang is not None and k != lang]
         if others and rng.random() < 0.5:
             donor = rng.choice(by_language[rng.choice(sorted(others))])
             part = [x for x in re.split(r"(?<=[.!?]) ", donor) if len(x.split()) > 4]
@@ -204,63 +211,93 @@ def _made_up(pairs: list[tuple[str, str, str]], rng: random.Random, wording: dic
     return rows, labels
 
 
-def train(sample: pd.DataFrame, seed: int = 5) -> tuple[LinearModel, dict[str, float]]:
-    """Model and held-out F1 of made-up defects, from ``question, answer, quote`` of pairs that are mostly good.
+class DefectModel:
+    """Classifier of pairs with ``quality``, the F1 of each defect on held-out made-up pairs; ``linear`` is None if nothing could be learnt."""
 
-    The sample itself holds defects; a first model drops the pairs that it finds before the second is fitted.
-    """
-    pairs = [(q or "", a or "", s or "") for q, a, s in zip(sample["question"], sample["answer"], sample["quote"]) if (q or "").strip()]
-    # held-out pairs are made up with wording that the model has not seen, so thresholds suit what is new
-    lists = {"NOTHING": NOTHING, "OPENERS": OPENERS, "REFUSALS": REFUSALS, "REASONS": REASONS, "CLOSERS": CLOSERS, "ECHOES": ECHOES, "ASIDES": ASIDES, "AFTERS": AFTERS}
-    unseen = {k: v[::4] for k, v in lists.items()}
-    known = {k: [x for x in v if x not in unseen[k] or x == ""] for k, v in lists.items()}
-    model, quality = LinearModel(DEFECTS), {}
-    for _ in range(2):
-        rng = random.Random(seed)
-        fit, held = ([pairs[i] for i in range(len(pairs)) if (i % 5 == 0) == hold] for hold in (False, True))
-        parts = []
-        for some, wording in ((fit, known), (held, unseen)):
-            rows, labels = _made_up(some, rng, wording)
-            parts.append(([pair_features(*r) for r in rows], np.array([[label == d for d in DEFECTS] for label in labels], float).reshape(-1, len(DEFECTS))))
-        model = LinearModel(DEFECTS).fit(*parts[0])
-        quality = model.calibrate(*parts[1]) if parts[1][0] else {}
-        scores = model.scores([pair_features(*p) for p in pairs])
-        pairs = [p for p, s in zip(pairs, scores) if not (s >= model.thresholds).any()]
-    return model, quality
-
-
-def defective_pairs(df: DataFrame, id_col: str, question_col: str, answer_col: str, quote_col: str, sample_rows: int = 2500, seed: int = 5) -> DataFrame:
+    def __init__(self, sample: pd.DataFrame, labelled: pd.DataFrame, seed: int = 5):
+        """From ``question, answer, quote`` of pairs that are mostly good, and ``text, lang`` of some texts.
+
+        The sample itself holds defects; a first model drops the pairs that it finds before the second is fitted.
+        """
+        pairs = [(q or "", a or "", s or "") for q, a, s in zip(sample["question"], sample["answer"], sample["quote"]) if (q or "").strip()]
+        languages = Languages(labelled)
+        self.reader = PairReader(languages, frequent_words(pairs))
+        self.linear: LinearModel | None = None
+        self.quality: dict[str, float] = {f"language {k}": v for k, v in languages.quality.items()}
+        # held-out pairs are made up with wording that the model has not seen, so thresholds suit what is new
+        lists = {"NOTHING": NOTHING, "OPENERS": OPENERS, "REFUSALS": REFUSALS, "REASONS": REASONS, "CLOSERS": CLOSERS, "ECHOES": ECHOES, "ASIDES": ASIDES, "AFTERS": AFTERS}
+        unseen = {k: v[::4] for k, v in lists.items()}
+        known = {k: [x for x in v if x not in unseen[k] or x == ""] for k, v in lists.items()}
+        for _ in range(2):
+            if len(pairs) < 10:
+                return
+            lq, la = self.reader.shares([q for q, _, _ in pairs]), self.reader.shares([a for _, a, _ in pairs])
+            spoken = [int(x.argmax()) if len(x) and x.argmax() == y.argmax() and x.max() * y.max() > 0.5 else None for x, y in zip(lq, la)]
+            rng, parts = random.Random(seed), []
+            for hold, wording in ((False, known), (True, unseen)):
+                at = [i for i in range(len(pairs)) if (i % 5 == 0) == hold]
+                rows, labels = _made_up([pairs[i] for i in at], [spoken[i] for i in at], rng, wording)
+                parts.append((self.reader.features(rows), np.array([[label == d for d in DEFECTS] for label in labels], float).reshape(-1, len(DEFECTS))))
+            self.linear = LinearModel(DEFECTS).fit(*parts[0])
+            self.quality |= self.linear.calibrate(*parts[1])
+            scores = self.linear.scores(self.reader.features(pairs))
+            pairs = [p for p, s in zip(pairs, scores) if not (s >= self.linear.thresholds).any()]
+
+
+def fitted(df: DataFrame, id_col: str, question_col: str, answer_col: str, quote_col: str, languages: DataFrame | None = None, sample_rows: int = 2500, language_rows: int = 2000, seed: int = 5) -> DefectModel | None:
+    """The model of :func:`defective_pairs` for a table, None for an empty one."""
+    rows = _distinct(df, id_col, question_col, answer_col, quote_col)
+    sample = hash_sample(rows, "id", sample_rows, seed)
+    if not len(sample):
+        return None
+    labelled = pd.DataFrame({"text": pd.Series(dtype=object), "lang": pd.Series(dtype=object)})
+    if languages is not None:
+        texts = languages.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\S")).select("lang", "text")
+        labelled = hash_sample(texts, "text", language_rows, seed)
+    return DefectModel(sample, labelled, seed)
+
+
+def _distinct(df: DataFrame, id_col: str, question_col: str, answer_col: str, quote_col: str) -> DataFrame:
+    return df.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("string").alias("id")).agg(
+        F.min(F.struct(F.col(answer_col).alias("answer"), F.col(question_col).alias("question"), F.col(quote_col).alias("quote"))).alias("r")
+    ).select("id", "r.question", "r.answer", "r.quote")
+
+
+def defective_pairs(df: DataFrame, id_col: str, question_col: str, answer_col: str, quote_col: str, languages: DataFrame | None = None, model: DefectModel | None = None, **fit) -> DataFrame:
     """``id, defect, score`` of the pairs that have a defect, at most one each: the one furthest over its threshold.
 
-    The classifier is fitted on at most ``sample_rows`` pairs, taken by a hash of the id, and on defects made from them;
-    it is applied to every row. Its thresholds are calibrated on held-out made-up pairs.
+    The classifier is fitted on at most ``sample_rows`` pairs (:func:`fitted`), those of the smallest hash of the id, and on defects made from them; it
+    is applied to every row. Its thresholds are calibrated on held-out made-up pairs. Languages are learnt from ``language_rows`` texts that
+    carry a label, and answers are swapped between the languages found; without labels ``other_language`` is not judged.
 
     Args:
         df: one row per id is judged (of several different ones the smallest answer, null first). Other columns are
-            ignored. A null or wordless answer is ``empty``; rows with a null id are left out.
+            ignored. A null or wordless answer is ``empty``, by rule, whatever the classifier says; rows with a null id are left out.
+            With fewer than ten questions there is nothing to fit on, and only wordless answers are found.
+        languages: ``text, lang``; labels may be wrong now and then.
+        model: from :func:`fitted`; fitted here if not given.
     """
     spark = df.sparkSession
-    rows = df.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("string").alias("id")).agg(
-        F.min(F.struct(F.col(answer_col).alias("answer"), F.col(question_col).alias("question"), F.col(quote_col).alias("quote"))).alias("r")
-    ).select("id", "r.question", "r.answer", "r.quote")
-    total = rows.count()
-    if not total:
+    model = model or fitted(df, id_col, question_col, answer_col, quote_col, languages, **fit)
+    if model is None:
         return spark.createDataFrame([], "id string, defect string, score double")
-    share = min(1_000_000, int(1_000_000 * sample_rows / total))
-    sample = rows.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < share).orderBy("id").limit(sample_rows).toPandas()
-    model = spark.sparkContext.broadcast(train(sample, seed)[0])
+    shared = spark.sparkContext.broadcast(model)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = model.value
+        m = shared.value
         for pdf in batches:
-            features = [pair_features(*p) for p in zip(pdf["question"], pdf["answer"], pdf["quote"])]
-            p = m.scores(features)
-            over = (p - m.thresholds) / (1 - m.thresholds)
-            best = over.argmax(1)
-            found = over[np.arange(len(p)), best] >= 0
-            names = np.array(m.labels, object)[best]
+            if not len(pdf):
+                continue
+            features = m.reader.features(list(zip(pdf["question"], pdf["answer"], pdf["quote"])))
             silent = np.array(["wordless" in f for f in features], bool)
-            names[silent], found = "empty", found | silent
-            yield pd.DataFrame({"id": pdf["id"], "defect": names, "score": p[np.arange(len(p)), best]})[found]
+            names, found, score = np.full(len(pdf), "empty", object), silent, np.ones(len(pdf))
+            if m.linear is not None:
+                p = m.linear.scores(features)
+                over = (p - m.linear.thresholds) / (1 - m.linear.thresholds)
+                best = over.argmax(1)
+                score = np.where(silent, 1.0, p[np.arange(len(p)), best])
+                names = np.where(silent, "empty", np.array(m.linear.labels, object)[best])
+                found = silent | (over[np.arange(len(p)), best] >= 0)
+            yield pd.DataFrame({"id": pdf["id"], "defect": names, "score": score})[found]
 
-    return rows.mapInPandas(judge, "id string, defect string, score double")
+    return _distinct(df, id_col, question_col, answer_col, quote_col).mapInPandas(judge, "id string, defect string, score double")

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cordonlake.functions.words import mix64, word_hashes
+from cordonlake.llm.words import mix64, word_hashes
+from cordonlake.session import stacked
 
 _HIT = "doc_id string, item_id long, windows int, run int, covered double, similarity double"
 _BLOCKS = 4
@@ -255,5 +256,5 @@ def leaked_items(docs: DataFrame, items: DataFrame, window: int = 12, radius: in
                     if rows:
                         yield pd.DataFrame(rows, columns=["doc_id", "item_id", "windows", "run", "covered", "similarity"])
 
-        found = found.unionByName(texts.mapInPandas(scan, _HIT))
+        found = stacked(found, texts.mapInPandas(scan, _HIT))
     return found

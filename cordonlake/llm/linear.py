@@ -6,6 +6,9 @@ import zlib
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 Features = dict[str, float]
 
@@ -85,5 +88,22 @@ class LinearModel:
         return out
 
 
+def hash_sample(rows: DataFrame, key: str, n: int, seed: int) -> pd.DataFrame:
+    """The ``n`` rows whose hash of ``key`` is smallest, on the driver; all rows if there are no more.
+
+    Rows are counted, and a share of them that gives four times ``n`` is drawn by the hash first, so a table of any size sends
+    no more than that to be sorted; should the draw give too few, all rows are sorted. A sample of a table with rows is never empty.
+    """
+    total = rows.count()
+    h = F.xxhash64(F.col(key).cast("string"), F.lit(seed))
+    placed = rows.withColumn("_h", h)
+    if total > 8 * n:
+        below = int(-(2**63) + 2**64 * (4 * n / total))
+        drawn = placed.where(F.col("_h") < F.lit(below)).orderBy("_h", key).limit(n).toPandas()
+        if len(drawn) == n:
+            return drawn.drop(columns="_h")
+    return placed.orderBy("_h", key).limit(n).toPandas().drop(columns="_h")
+
+
 def ngrams(words: Sequence[str], prefix: str, upto: int = 2) -> Features:
     return {f"{prefix}{n}:{' '.join(words[i : i + n])}": 1.0 for n in range(1, upto + 1) for i in range(len(words) - n + 1)}

@@ -6,7 +6,6 @@ import base64
 import math
 import os
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -14,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cordonlake.session import bounded_pandas, materialize
+from cordonlake.session import bounded_pandas, materialize, stacked
 
 #: The folder of public vocabularies; a parameter of every function that counts tokens.
 TOKENIZERS = "/opt/tokenizers"
@@ -23,21 +22,31 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 _ROUND = "doc string, source string, size long, copies int, p double, node long"
 
 
-@cache
-def _encoder(path: str):
+_ENCODERS: dict[str, object] = {}
+
+
+def _encoder(name: str, ranks_file: bytes):
+    """The tokenizer of a rank file, built once per Python worker."""
     import tiktoken
 
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    if name not in _ENCODERS:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks_file.splitlines())}
+        _ENCODERS[name] = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _ENCODERS[name]
 
 
 def token_counts(df: DataFrame, text_col: str, keep: list, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken") -> DataFrame:
-    """The columns ``keep`` and ``size``, the tokens of each whole text; null and empty texts have 0."""
+    """The columns ``keep`` and ``size``, the tokens of each whole text; null and empty texts have 0.
+
+    The rank file (about a megabyte) is read here and broadcast, so workers need no such file.
+    """
+    with open(vocabulary, "rb") as f:
+        shared = df.sparkSession.sparkContext.broadcast(f.read())
+    name = os.path.basename(vocabulary)
 
     @F.pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = _encoder(vocabulary).encode_ordinary
+        encode = _encoder(name, shared.value).encode_ordinary
         for texts in batches:
             yield pd.Series([len(encode(t)) if t else 0 for t in texts], dtype="int64")
 
@@ -111,9 +120,10 @@ def mix(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: s
 
     Returns:
         ``(doc_id, source, size, copies)`` of the documents of the sources of ``targets``;
-        ``(source, weight, max_repeats, own_size, target_size, reachable, mixed_size, mixed_rows, actual_share)`` with one row
-        per target. ``reachable`` is false where ``max_repeats`` times the own size stays below the target, a source without
-        documents included; such a source is used ``max_repeats`` times. ``actual_share`` is null if the mix is empty.
+        ``(source, weight, max_repeats, own_size, target_size, largest, mixed_size, mixed_rows, short_by, reachable, actual_share)`` with
+        one row per target. ``short_by`` is what the finished mix lacks to the target. ``reachable`` is false for a source that the capped rounding
+        used up, every document ``max_repeats`` times, and left short of its target; one without documents is short of any target above 0.
+        ``actual_share`` is null if the mix is empty.
     """
     spark = docs.sparkSession
     sized = token_counts(docs.select(F.col(id_col).cast("string").alias("doc"), F.col(source_col).alias("source"), text_col), text_col, ["doc", "source"], vocabulary)
@@ -124,9 +134,9 @@ def mix(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: s
     whole = own.agg(F.coalesce(F.sum("own_size"), F.lit(0)).alias("whole"))
     plan = wanted.join(own, "source", "left").crossJoin(F.broadcast(whole)).select(
         "source", "weight", "max_repeats", F.coalesce("own_size", F.lit(0)).alias("own_size"), (F.col("weight") * F.col("whole")).alias("target_size")
-    ).withColumn("reachable", F.col("max_repeats") * F.col("own_size") >= F.col("target_size"))
+    )
     # one row per target, so the plan is as small as the targets are
-    plan = spark.createDataFrame(bounded_pandas(plan, max_targets, "mix targets"), "source string, weight double, max_repeats int, own_size long, target_size double, reachable boolean")
+    plan = spark.createDataFrame(bounded_pandas(plan, max_targets, "mix targets"), "source string, weight double, max_repeats int, own_size long, target_size double")
     times = F.when(F.col("own_size") > 0, F.least(F.col("target_size") / F.col("own_size"), F.col("max_repeats").cast("double"))).otherwise(0.0)
     shares = sized.join(F.broadcast(plan.select("source", times.alias("times"))), "source").select(
         "doc", "source", "size", F.floor("times").cast("int").alias("copies"), F.when(F.col("size") > 0, F.col("times") - F.floor("times")).otherwise(0.0).alias("p")
@@ -151,14 +161,19 @@ def mix(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: s
     depth = 0
     while nodes > 1:
         nodes, depth = math.ceil(nodes / fan_in), depth + 1
-
         level = waiting.withColumn("node", F.floor(F.col("node") / fan_in)).groupBy("source", "node").applyInPandas(_merge(seed + depth), _ROUND)
-        done, waiting = done.unionByName(level.where("p is null")), level.where("p is not null")
+        level = materialize(level, "rounded")
+        done, waiting = stacked(done, level.where("p is null")), level.where("p is not null")
     last = waiting.withColumn("copies", F.col("copies") + (F.pmod(F.xxhash64("doc", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30) < F.col("p")).cast("int"))
-    copies = done.unionByName(last).select(F.col("doc").alias("doc_id"), "source", "size", "copies")
-    got = copies.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("mixed_size"), F.sum(F.col("copies").cast("long")).alias("mixed_rows"))
-    zero = {"mixed_size": 0, "mixed_rows": 0}
-    report = plan.join(F.broadcast(got), "source", "left").fillna(zero)
+    copies = stacked(done, last).select(F.col("doc").alias("doc_id"), "source", "size", "copies")
+    got = copies.groupBy("source").agg(
+        F.sum(F.col("size") * F.col("copies")).alias("mixed_size"), F.sum(F.col("copies").cast("long")).alias("mixed_rows"), F.max("size").alias("largest"), F.min(F.when(F.col("size") > 0, F.col("copies"))).alias("least_used")
+    )
+    report = plan.join(F.broadcast(got), "source", "left").fillna({"mixed_size": 0, "mixed_rows": 0})
     mixed = got.agg(F.sum("mixed_size").alias("mixed_whole"))
-    report = report.crossJoin(F.broadcast(mixed)).withColumn("actual_share", F.try_divide(F.col("mixed_size").cast("double"), F.col("mixed_whole").cast("double"))).drop("mixed_whole")
+    # what the mix itself shows: a source is out of reach if no document with any size can be used once more and the target is not met
+    used_up = F.coalesce(F.col("least_used") >= F.col("max_repeats"), F.lit(True))
+    short = F.greatest(F.lit(0.0), F.col("target_size") - F.col("mixed_size"))
+    report = report.withColumn("short_by", short).withColumn("reachable", ~(used_up & (F.col("short_by") > 1e-6 * F.col("target_size"))))
+    report = report.crossJoin(F.broadcast(mixed)).withColumn("actual_share", F.try_divide(F.col("mixed_size").cast("double"), F.col("mixed_whole").cast("double"))).drop("mixed_whole", "least_used")
     return copies, report

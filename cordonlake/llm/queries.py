@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cordonlake.llm.defects import defective_pairs
+from cordonlake.llm.defects import defective_pairs, fitted
 from cordonlake.llm.leakage import leaked_items
 from cordonlake.llm.mixing import mix
 from cordonlake.llm.neardup import near_duplicates
 from cordonlake.llm.neighbours import most_similar
+from cordonlake.llm.residue import fitted as residue_model
 from cordonlake.llm.residue import residue
 from cordonlake.llm.splitting import split_items
 from cordonlake.session import table
@@ -109,7 +110,7 @@ _WORDS = "len(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'))"
     SELECT t.source FROM mix_targets t LEFT JOIN d ON d.source = t.source
     WHERE t.max_repeats * coalesce(d.own, 0) < t.weight * (SELECT sum(own) FROM d)""")
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources that cannot reach their share of the mix."""
+    """Sources that the finished mix leaves short of their target although all of their documents were used as often as allowed."""
     return p7_shares(spark, sf_dir).where("not reachable").select("source")
 
 
@@ -129,7 +130,15 @@ def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answerable golden queries with a defective answer, and the kind of defect."""
     rows = table(spark, sf_dir, "queries").where("answerable")
-    return defective_pairs(rows, "query_id", "question", "answer", "supporting_quote").select(F.col("id").alias("query_id"), "defect")
+    return defective_pairs(rows, "query_id", "question", "answer", "supporting_quote", table(spark, sf_dir, "documents")).select(F.col("id").alias("query_id"), "defect")
+
+
+@query()
+def p4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F1 of each defect on held-out made-up pairs, and of each language on held-out texts."""
+    rows = table(spark, sf_dir, "queries").where("answerable")
+    model = fitted(rows, "query_id", "question", "answer", "supporting_quote", table(spark, sf_dir, "documents"))
+    return spark.createDataFrame(sorted(model.quality.items()) if model else [], "label string, f1 double")
 
 
 @query()
@@ -142,3 +151,10 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with what was found in it."""
     return residue(table(spark, sf_dir, "documents"), "doc_id", "text", "tenant").withColumnRenamed("id", "doc_id")
+
+
+@query()
+def p8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F1 of each class of lines and of placeholders against the weak labels, on tenants (in place of hosts, which the table lacks) left out of the fit."""
+    model = residue_model(table(spark, sf_dir, "documents"), "doc_id", "text", "tenant")
+    return spark.createDataFrame(sorted(model.quality.items()) if model else [], "label string, f1 double")

@@ -10,8 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cordonlake.functions.words import mix64, word_hashes
-from cordonlake.llm.linear import Features, Hashed, LinearModel
+from cordonlake.llm.words import mix64, word_hashes
+from cordonlake.llm.linear import Features, Hashed, LinearModel, hash_sample
 
 LINE_LABELS, MARK_LABELS = ["notice", "filler"], ["placeholder"]
 
@@ -19,26 +19,27 @@ LINE_LABELS, MARK_LABELS = ["notice", "filler"], ["placeholder"]
 STATUS = ("bad request|unauthorized|payment required|forbidden|not found|method not allowed|not acceptable|request timeout|conflict|gone|length required|precondition failed|payload too large|"
           "unsupported media type|too many requests|internal server error|not implemented|bad gateway|service unavailable|gateway timeout")
 
-# Weak labels. A phrase marks a line, a line with prose around a phrase is marked as good.
-_NOTICE = re.compile(
-    "|".join([
-        rf"""^\W*(?:http/[\d.]+\s+)?(?:error\s+)?[45]\d\d\W+(?:{STATUS})|["']?(?:status|code|error)["']?\s*[:>]\s*["']?(?:[45]\d\d\b|{STATUS})|<error>|<code>|</error>|^traceback|^\s*file ".*", line \d|^\w*(?:error|exception):\s|fatal error|failed to open stream|stack trace""",
-        rf"""(?:page|site|document|filing|file|link|resource).{{0,30}}(?:not (?:be )?found|no longer|never existed|does not exist|has (?:been )?moved|unavailable)|can(?:'t|not) find (?:that|the) page""",
-        rf"""(?:access|permission).{{0,20}}(?:denied|blocked)|not permitted to view|login required|(?:sign|log) in (?:again|to)|session has (?:expired|timed)|no rights to""",
-        rf"""(?:enable|turn on|switch(?:ed)? on|activate|allow|requires?|needs?|without|does not (?:run|support)|blocking)\W.{{0,30}}(?:java ?script|scripts?\b|scripting|cookies|client-side)|browser.{{0,40}}(?:script|support|blocking)|(?:scripts?|javascript|scripting|code) (?:is |are )?(?:required|disabled|off)\b|<noscript>|document\.write""",
-        rf"""not a robot|captcha|unusual traffic|automated (?:retrieval|access|requests)|too many requests|try again (?:later|in)|before you retry|temporarily (?:offline|unavailable)|maintenance|be back (?:shortly|soon)""",
-        rf"""could not (?:connect|be (?:reached|retrieved|loaded|resolved))|connection (?:was |to .{{0,30}} was )?(?:reset|refused|timed out)|database connection|something went wrong|unexpected (?:problem|error)|did(?:n't| not) work|failed to (?:start|load)|loading was stopped|gave up waiting|lookup .{{0,40}}failed|\bblocker\b""",
-        rf"""seite nicht gefunden|zugriff verweigert|aktivieren sie|skripte benötigt|page introuvable|accès refusé|veuillez activer|página no encontrada|acceso denegado|active javascript|habilite""",
-        r"""^http/[\d.]+ \d|^(?:retry-after|content-length|content-type|server|x-[\w-]+): ?\S+$""",
-    ]),
-    re.I,
-)
+# The words of the usual Latin filler.
+LATIN = "lorem|ipsum|dolor|amet|elit|aliqua|veniam|nostrud|fugiat|pariatur|cillum|mollit|laborum|tempor|consectetur|adipiscing"
+
+# Weak labels: what a message of a server or viewer speaks of, by kind. A phrase marks a line; a line with prose around a phrase is marked as good.
+NOTICES = {
+    "status": rf"""^\W*(?:http/[\d.]+\s+)?(?:error\s+)?[45]\d\d\W+(?:{STATUS})|\b(?:status|code|error)["']?\s*[:>]\s*["']?(?:[45]\d\d\b|{STATUS})|^http/[\d.]+ \d""",
+    "program": r"""^traceback|^\s*file ".*", line \d|^\w*(?:error|exception):\s|fatal error|stack trace""",
+    "missing": r"""(?:page|site|document|file|link|resource).{0,30}(?:not (?:be )?found|no longer|does not exist|(?:has )?moved|unavailable)""",
+    "access": r"""(?:access|permission).{0,20}(?:denied|blocked|refused)|(?:log|sign) ?in (?:required|again|to)|session (?:has )?expired""",
+    "script": r"""(?:enable|turn on|activate|allow|requires?|needs?|without)\W.{0,30}(?:java ?script|scripts?\b|cookies)|(?:javascript|scripts?|cookies) (?:is |are )?(?:required|disabled|off)\b|browser.{0,40}support""",
+    "load": r"""captcha|not a robot|too many requests|try again (?:later|in)|temporarily (?:offline|unavailable)|under maintenance""",
+    "network": r"""(?:could|can) ?not (?:connect|be (?:reached|loaded))|connection.{0,30}(?:reset|refused|timed out)|something went wrong|unexpected error""",
+    "abroad": r"""nicht gefunden|zugriff verweigert|javascript aktivieren|introuvable|accès refusé|activer javascript|no encontrada|acceso denegado|active javascript""",
+}
+_NOTICE = re.compile("|".join(NOTICES.values()), re.I)
 _FILLER = re.compile(
-    r"lorem ipsum|dolor sit amet|(?:\b(?:lorem|ipsum|dolor|amet|elit|aliqua|veniam|nostrud|fugiat|pariatur|cillum|mollit|laborum|tempor|consectetur|adipiscing)\b.*){3}|(?:[asdfghjklö]{4,}\s+){4}|(?:qwer|asdf|zxcv)\w*\s+(?:\w*(?:qwer|asdf|zxcv|hjkl|sdfg)\w*\s*){2}"
-    r"|\b(\w+(?: \w+)?)(?:[\s,.]+\1\b){5}|(?:your|sample|dummy|body|example|placeholder) (?:text|copy|paragraph)\b.{0,40}(?:here|later|only|final|replaced)|blindtext|texte factice|remplir la page|texto de relleno|de relleno|text steht später|hier steht später|mock-up|dummy line|replace me|copy pending|to read in this box|column looks full",
+    rf"lorem ipsum|(?:\b(?:{LATIN})\b.*){{3}}|(?:[asdfghjkl]{{4,}}\s+){{4}}|(?:qwer|asdf|zxcv)\w*\s+(?:\w*(?:qwer|asdf|zxcv|hjkl|sdfg)\w*\s*){{2}}"
+    r"|\b(\w+(?: \w+)?)(?:[\s,.]+\1\b){5}|(?:your|sample|dummy|filler|placeholder|example) (?:text|copy|paragraph|content)\b|(?:text|copy|paragraph|content)\b.{0,40}\b(?:goes here|to be replaced|will follow|to come)\b|blindtext|faux texte|texto de relleno",
     re.I | re.S,
 )
-_PROSE = re.compile(r"\b(?:shall|must|may|will|agrees? to|is (?:obliged|expected|free|permitted) to|elected to|plans? to|expects? to|counts as|is named|are named|names the|tells?|such as|marked|where the|for example|notices|handling)\b", re.I)
+_PROSE = re.compile(r"\b(?:shall|must|may|will|agrees? to|plans? to|expects? to|such as|for example|where the)\b", re.I)
 
 #: Anything that could stand for a value to be filled in; the classifier decides.
 _MARK = re.compile(
@@ -49,8 +50,10 @@ _SURE_MARK = re.compile(
     r"\{\{.*\}\}|\{%.*%\}|<%.*%>|%%\w+%%|%\(\w+\)s?|@@\w+@@|\[\[[A-Za-z_ ]+\]\]|<<[A-Za-z_ ]+>>|\[(?:insert|enter|tbd|todo|name of|your|date of)\b.*\]|\((?:enter|insert)\b.*\)|(?:TODO|FIXME):.*|<\w+_here>|<!-- .*missing.*-->|\[[●•]\]|XX/XX/(?:20)?XX(?:XX)?|__[A-Z_]+__|\{\d\}|[$#]\{\w+\}",
     re.I,
 )
-_ABOUT = re.compile(r"\b(?:variable|template|line ends|names the|stands for|expands|called|marked|notation|syntax|written as|literal|note|table|code|command|field|fields such as|reads|withheld|omitted|left out|confidential|redacted|signature|signed|dated|element|tag)\b", re.I)
-_NOT_MARK = re.compile(r"^_{3,}$|^\[\d+\]$|^<\d+>$|^\[\*+\]$|^\[(?:redacted|omitted|sic|\.\.\.|…)\]$|^\[[a-z]+-[a-z0-9-]+\]$|^\{\}$", re.I)
+_ABOUT = re.compile(r"\b(?:variable|template|stands for|expands|called|marked|notation|syntax|written as|literal|note|table|code|command|fields?|reads|withheld|omitted|left out|confidential|redacted|signature|signed|dated|element|tag)\b", re.I)
+_NOT_MARK = re.compile(r"^_{3,}$|^\[\d+\]$|^<\d+>$|^\[\*+\]$|^\[(?:redacted|omitted|sic|\.\.\.|…)\]$|^\{\}$", re.I)
+# Marks put into sample lines, so that the classifier knows both sides even where a sample has none.
+MADE_MARKS = [("{{ name }}", 1.0), ("[insert date]", 1.0), ("<% owner %>", 1.0), ("TODO: amount", 1.0), ("__________", 0.0), ("[12]", 0.0), ("[***]", 0.0), ("[omitted]", 0.0)]
 _WORD = re.compile(r"[^\W\d_]+|\d+")
 _LINE = re.compile(r"[^\n\f\r]+")
 
@@ -146,7 +149,7 @@ def mark_features(text: str, start: int, end: int) -> Features:
 
 
 _READER = re.compile(r"\b(?:you|your|we|please|sie|votre|vous|veuillez|su)\b", re.I)
-_MENTION = re.compile(r"\b(?:notices (?:may|are|must)|tells|counts as|handling|is logged|asks users|such as|names the)\b", re.I)
+_MENTION = re.compile(r"\b(?:such as|for example|e\.g\.|refers? to|means|counts as)", re.I)
 
 
 def _weak_line(line: str) -> tuple[list[float], list[float]]:
@@ -164,7 +167,7 @@ def _weak_line(line: str) -> tuple[list[float], list[float]]:
 def _weak_mark(text: str, start: int, end: int) -> tuple[float, float]:
     mark, left = text[start:end], text[max(0, start - 40) : start].rsplit("\n", 1)[-1]
     right = text[end : end + 30].split("\n", 1)[0]
-    if _NOT_MARK.search(mark) or _ABOUT.search(left) or re.match(r"\s*(?:names|stands|expands|means|,? after which|were|was left)", right) or left.endswith(("/", '"', "“")):
+    if _NOT_MARK.search(mark) or _ABOUT.search(left) or re.match(r"\s*(?:names|stands|expands|means|denotes|is|are|was|were)\b", right) or left.endswith(("/", '"', "“")):
         return 0.0, 1.0
     return (1.0, 1.0) if _SURE_MARK.fullmatch(mark) else (0.0, 0.0)
 
@@ -174,7 +177,7 @@ class ResidueModel:
 
     def __init__(self, sample: pd.DataFrame):
         """``sample``: ``text`` and ``host``; a fifth of the hosts is held out."""
-        lines, first, y, sure, held, marks, m_y, m_held = [], [], [], [], [], [], [], []
+        lines, first, y, sure, held, marks, m_y, m_held, made = [], [], [], [], [], [], [], [], []
         seen: set[tuple[str, str]] = set()
         for text, host in zip(sample["text"], sample["host"]):
             out = sum(str(host).encode()) % 5 == 0
@@ -192,12 +195,20 @@ class ResidueModel:
                     y += [[0.0, 0.0]] * min(1, i) + [label]
                     sure += [[0.0, 0.0]] * min(1, i) + [certain]
                     held += [out] * (min(1, i) + 1)
+            if own and len(made) < 400:
+                line, (mark, label) = max(own, key=len)[:400], MADE_MARKS[len(made) % len(MADE_MARKS)]
+                at = line.find(" ", len(line) // 2) + 1
+                made.append((line[:at] + mark + " " + line[at:], at, at + len(mark), label, out))
             for m in _marks(text):
                 label, certain = _weak_mark(text, m.start(), m.end())
                 if certain:
                     marks.append(mark_features(text, m.start(), m.end()))
                     m_y.append([label])
                     m_held.append(out)
+        for text, start, end, label, out in made:
+            marks.append(mark_features(text, start, end))
+            m_y.append([label])
+            m_held.append(out)
         self.quality: dict[str, float] = {}
         self.lines = self._fit(LINE_LABELS, line_features(lines, np.array(first, bool)), y, sure, held)
         self.marks = self._fit(MARK_LABELS, Hashed.of(marks, _BITS), m_y, np.ones((len(m_y), 1)), m_held)
@@ -236,28 +247,48 @@ class ResidueModel:
         })
 
 
-def residue(df: DataFrame, id_col: str, text_col: str, host_col: str, sample_rows: int = 4000, sample_chars: int = 50_000, seed: int = 3) -> DataFrame:
+def fitted(df: DataFrame, id_col: str, text_col: str, host_col: str, sample_rows: int = 4000, sample_chars: int = 50_000, seed: int = 3) -> ResidueModel | None:
+    """The model of :func:`residue` for a table, None for one without texts.
+
+    At most ``sample_rows`` rows, those of the smallest hash of the id; up to a third of them are rows whose text one of the weak phrases marks,
+    looked for among twelve times as many rows of the smallest hash only. Rows over ``sample_chars`` characters are not taken.
+    """
+    rows = _texts(df, id_col, text_col, host_col).where(F.length("text") <= sample_chars)
+    plain = hash_sample(rows, "id", sample_rows - sample_rows // 3, seed)
+    if not len(plain):
+        return None
+    total = rows.count()
+    h = F.xxhash64(F.col("id").cast("string"), F.lit(seed + 1))
+    # drawn by the hash before any pattern is tried
+    wide = rows if total <= 12 * sample_rows else rows.where(h < F.lit(int(-(2**63) + 2**64 * (12 * sample_rows / total))))
+    hint = F.col("text").rlike("(?im)" + _NOTICE.pattern) | F.col("text").rlike("(?is)" + _FILLER.pattern) | F.col("text").rlike(r"(?i)\{\{|<%|\[(?:insert|tbd)|todo:|%%|__[a-z]|_here>|\{0\}|\$\{|\[[●•]")
+    marked = wide.where(hint).orderBy(h, "id").limit(sample_rows // 3).toPandas()
+    return ResidueModel(pd.concat([plain, marked]).drop_duplicates("id"))
+
+
+def _texts(df: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
+    return df.where(F.col(id_col).isNotNull() & F.col(text_col).rlike(r"\S")).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(host_col).cast("string").alias("host"))
+
+
+def residue(df: DataFrame, id_col: str, text_col: str, host_col: str, model: ResidueModel | None = None, **fit) -> DataFrame:
     """``id, placeholders, fillers, notice_share, is_residue`` of every row with a text that is not blank.
 
-    The classifiers are fitted on at most ``sample_rows`` rows, taken by a hash of the id; rows whose text one of the weak
-    phrases marks are taken five times as often, rows over ``sample_chars`` characters are not. They are applied to every
-    row's whole text, where it is read.
+    The classifiers are fitted on a bounded sample (:func:`fitted`) and applied to every row's whole text, where it is read. Lines and possible
+    placeholders are classified; what a document is follows by rule: any placeholder, any filler line of five words or more, or notices over half of
+    its characters.
 
     Args:
         df: other columns are ignored. Rows with a null id, a null or a blank text give no row; ``host_col`` may be null.
             Repeated rows give repeated results.
+        model: from :func:`fitted`; fitted here if not given.
     """
     spark = df.sparkSession
-    rows = df.where(F.col(id_col).isNotNull() & F.col(text_col).rlike(r"\S")).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(host_col).cast("string").alias("host"))
+    rows = _texts(df, id_col, text_col, host_col)
     schema = f"id {dict(rows.dtypes)['id']}, placeholders int, fillers int, notice_share double"
-    total = df.count()
-    if not total:
+    model = model or fitted(df, id_col, text_col, host_col, **fit)
+    if model is None:
         return spark.createDataFrame([], schema + ", is_residue boolean")
-    draw = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(seed)), F.lit(1_000_000))
-    hint = F.col("text").rlike("(?im)" + _NOTICE.pattern) | F.col("text").rlike("(?is)" + _FILLER.pattern) | F.col("text").rlike(r"(?i)\{\{|<%|\[(?:insert|tbd)|todo:|%%|__[a-z]|_here>|\{0\}|\$\{|\[[●•]")
-    base = int(700_000 * sample_rows / total)
-    sample = rows.where(F.length("text") <= sample_chars).where((draw < base) | ((draw < 5 * base) & hint)).orderBy(draw, "id").limit(sample_rows).toPandas()
-    shared = spark.sparkContext.broadcast(ResidueModel(sample))
+    shared = spark.sparkContext.broadcast(model)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -2,8 +2,10 @@ import random
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
-from cordonlake.llm.defects import defective_pairs, pair_features
+from cordonlake.llm.defects import DefectModel, PairReader, defective_pairs, fitted
+from cordonlake.llm.language import Languages
 from cordonlake.llm.linear import LinearModel
 from cordonlake.llm.residue import residue
 
@@ -19,6 +21,12 @@ def test_linear_model_separates():
     assert ((m.scores(rows)[:, 0] >= m.thresholds[0]) == (y[:, 0] > 0)).all()
 
 
+def labelled(spark, rng):
+    english, german = ["The owner of the harbour shall", "Each party must", "A tenant may"], ["Der Mieter der Halle soll", "Jede Partei muss", "Die Frist ist, und man darf"]
+    rows = [(" ".join(f"{rng.choice(s)} {rng.choice(e)} {rng.randrange(90)}." for _ in range(4)), lang) for s, lang, e in ((english, "en", ["keep the records in the office", "return it within the days after notice"]), (german, "de", ["die Rechnung bis dahin vorlegen", "das Buch nach Ablauf der Tage geben"])) for _ in range(150)]
+    return spark.createDataFrame([*rows, (None, "en"), ("x", None), ("odd", "xx")], "text string, lang string")
+
+
 def good_pair(rng):
     n, name = rng.randrange(2, 400), rng.choice(["Alder", "Birch", "Cedar", "Maple"]) + rng.choice([" Works", " Farms", " Mills"])
     thing = rng.choice(["harbour", "ledger", "archive", "licence", "warehouse"])
@@ -42,7 +50,7 @@ def test_defects(spark):
     }
     rows += [(f"{d}-{i}", q, a, None, "", 0) for d, xs in bad.items() for i, a in enumerate(xs)]
     rows += [(None, q, "x", None, "", 0), rows[0], ("null", None, "An answer that stands alone for 12 days.", None, "", 0), ("long", q, "Cedar Farms must keep the archive for 20 months. " * 2000, None, "", 0)]
-    got = {r["id"]: r["defect"] for r in defective_pairs(spark.createDataFrame(rows, PAIRS), "query_id", "question", "answer", "quote").collect()}
+    got = {r["id"]: r["defect"] for r in defective_pairs(spark.createDataFrame(rows, PAIRS), "query_id", "question", "answer", "quote", labelled(spark, rng)).collect()}
     right = sum(got.get(f"{d}-{i}") == d for d, xs in bad.items() for i in range(len(xs)))
     assert right >= sum(map(len, bad.values())) - 2
     assert sum(k.startswith("g") for k in got) <= 14
@@ -51,7 +59,32 @@ def test_defects(spark):
 
 def test_no_pairs(spark):
     assert defective_pairs(spark.createDataFrame([], PAIRS), "query_id", "question", "answer", "quote").collect() == []
-    assert "wordless" in pair_features(None, None, None)
+    none = pd.DataFrame({"text": pd.Series(dtype=object), "lang": pd.Series(dtype=object)})
+    assert "wordless" in PairReader(Languages(none), frozenset()).features([(None, None, None)])[0]
+
+
+def test_without_a_fit_only_silence_is_judged(spark):
+    rows = [(f"x{i}", None, "Some answer.", None, "", 0) for i in range(30)] + [("e", None, " ", None, "", 0)]
+    assert [(r["id"], r["defect"]) for r in defective_pairs(spark.createDataFrame(rows, PAIRS), "query_id", "question", "answer", "quote").collect()] == [("e", "empty")]
+
+
+def test_samples_are_never_empty(spark, monkeypatch):
+    from cordonlake.llm import linear
+
+    df = spark.range(1000).withColumn("x", F.lit("y"))
+    first = linear.hash_sample(df, "id", 20, 3)
+    assert len(first) == 20
+    h = sorted((r["h"], r["id"]) for r in df.select("id", F.xxhash64(F.col("id").cast("string"), F.lit(3)).alias("h")).collect())
+    assert sorted(first["id"]) == sorted(i for _, i in h[:20])
+    # a count that is far too high draws nothing, and all rows are sorted instead
+    monkeypatch.setattr(type(df), "count", lambda self: 10**12)
+    assert sorted(linear.hash_sample(df, "id", 20, 3)["id"]) == sorted(first["id"])
+
+
+def test_languages_are_learnt(spark):
+    model = Languages(labelled(spark, random.Random(1)).toPandas())
+    got = model.shares(["The owner shall return the ledger.", "Der Mieter soll die Rechnung vorlegen.", "12", ""])
+    assert model.names == ["de", "en"] and got[0].argmax() == 1 and got[1].argmax() == 0 and got[2].tolist() == [0.5, 0.5]
 
 
 def prose(rng):
