@@ -13,7 +13,7 @@ from cordonlake.llm.words import mix64, word_hashes
 from cordonlake.session import stacked
 
 _HIT = "doc_id string, item_id long, windows int, run int, covered double, similarity double"
-_BLOCKS = 4
+WIDE_RADIUS, WIDE_STRIDE, WIDE_NEAR = 8, 8, 0.6
 
 
 def window_fingerprints(words: np.ndarray, size: int) -> np.ndarray:
@@ -40,48 +40,60 @@ def _windows(words: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndar
 
 
 class ItemIndex:
-    """Fingerprints of the windows of some items, by each of four blocks of 16 bits.
+    """Fingerprints of the windows of some items, by each of ``radius`` + 1 blocks of their bits.
 
-    Fingerprints that differ in at most three bits agree in one of four blocks, so looking up all four gives every item
-    window within that radius.
+    Fingerprints that differ in at most ``radius`` bits agree in one of the blocks, so looking up all of them gives every item
+    window within that radius. With a ``stride`` only every so many windows of an item are held, and its last one; a document's windows are
+    looked up at every word, so a copy of an item still lines up with each of them.
     """
 
-    def __init__(self, ids: np.ndarray, texts: pd.Series, size: int):
+    def __init__(self, ids: np.ndarray, texts: pd.Series, size: int, radius: int = 3, stride: int = 1):
         self.words, self.offsets = word_hashes(texts)
-        self.ids, self.size = ids, size
+        self.ids, self.size, self.radius = ids, size, radius
         self.at, self.item = _windows(self.words, self.offsets, size)
+        inside, last = self.at - self.offsets[self.item], self.offsets[self.item + 1] - size
+        held = (inside % stride == 0) | (self.at == last)
+        self.at, self.item = self.at[held], self.item[held]
         prints = window_fingerprints(self.words, size)
         self.prints = prints[self.at]
+        self.bits = 64 // (radius + 1)
         self.order, self.first = [], []
-        for b in range(_BLOCKS):
-            block = (self.prints >> np.uint64(16 * b)).astype(np.uint16)
+        for b in range(radius + 1):
+            block = self._block(self.prints, b)
             self.order.append(np.argsort(block, kind="stable"))
-            self.first.append(np.searchsorted(block[self.order[b]], np.arange((1 << 16) + 1)))
+            self.first.append(np.searchsorted(block[self.order[b]], np.arange((1 << self.bits) + 1)))
         # a two-word sequence weighs the less, the more items hold it
         pairs, owner = self._pairs(self.words, self.offsets)
         held = np.unique(np.stack([pairs, owner.astype(np.uint64)], 1), axis=0)[:, 0] if len(pairs) else pairs
         self.pairs, count = np.unique(held, return_counts=True)
         self.weight = 1.0 / count
 
+    def _block(self, prints: np.ndarray, b: int) -> np.ndarray:
+        return ((prints >> np.uint64(self.bits * b)) & np.uint64((1 << self.bits) - 1)).astype(np.int64)
+
     @staticmethod
     def _pairs(words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         with np.errstate(over="ignore"):
             at, text = _windows(words, offsets, 2)
             return mix64(words[at] * np.uint64(3) ^ mix64(words[at + 1 if len(at) else at])), text
 
-    def near(self, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    def near(self, prints: np.ndarray, step: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (position in ``prints``, item window) that differ in at most ``radius`` bits, each once."""
+        parts = [self._near(prints[lo : lo + step], lo) for lo in range(0, len(prints), step)]
+        return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def _near(self, prints: np.ndarray, offset: int) -> tuple[np.ndarray, np.ndarray]:
         left, right = [], []
-        for b in range(_BLOCKS):
-            block = (prints >> np.uint64(16 * b)).astype(np.uint16).astype(np.int64)
+        for b in range(self.radius + 1):
+            block = self._block(prints, b)
             lo, n = self.first[b][block], self.first[b][block + 1] - self.first[b][block]
             who = np.repeat(np.arange(len(prints)), n)
             what = self.order[b][np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
             differ = prints[who] ^ self.prints[what]
-            ok = np.bitwise_count(differ) <= radius
+            ok = np.flatnonzero(np.bitwise_count(differ) <= self.radius)
             for earlier in range(b):  # pairs that an earlier block already gave
-                ok &= (differ >> np.uint64(16 * earlier)).astype(np.uint16) != 0
-            left.append(who[ok])
+                ok = ok[self._block(differ[ok], earlier) != 0]
+            left.append(who[ok] + offset)
             right.append(what[ok])
         return np.concatenate(left), np.concatenate(right)
 
@@ -197,14 +209,14 @@ def _doc_hits(index: ItemIndex, words: np.ndarray, who: np.ndarray, what: np.nda
 def leaked_items(docs: DataFrame, items: DataFrame, window: int = 12, radius: int = 3, near: float = 0.8, block_words: int = 2_000_000, whole: float | None = None) -> DataFrame:
     """Documents that hold passages of items, whole, in part or slightly changed.
 
-    Method: the unit of an item is its window of ``window`` words (a shorter item is one whole window of its own length,
-    so such items are searched by length). Every window of a document gets a SimHash; four blocks of its bits find
-    all item windows within ``radius`` (3 at most) bits, so equal windows are always found. Candidates are verified word by
-    word and, where they are not equal, by the weighted share of their two-word sequences, ``near`` at least.
+    Method: every window of a document gets a SimHash, and blocks of its bits find all item windows within a radius; candidates are verified
+    word by word and, where they are not equal, by the weighted share of their two-word sequences. Windows come in two widths. Those of ``window`` words
+    with ``radius`` (3 at most) find every run of so many equal words, the shortest passage that counts; an item shorter than that is one window of its own
+    length. With ``whole``, windows as wide as the item to within a factor of two (32, 64, 128 ... words), ``WIDE_RADIUS`` bits in nine blocks and a share of
+    ``WIDE_NEAR``, find passages with changed words: of 64 words with one changed 0.99 lie within the radius, with three 0.89, with six 0.57.
 
-    A passage with changes closer together than a window escapes that. With ``whole``, such as 0.8, items are also looked
-    for as :class:`WholeItems`, that many of their words in order; an item found by this alone has ``windows`` 1,
-    ``run`` 0, and this share as ``covered`` and ``similarity``.
+    What that leaves is looked for as :class:`WholeItems`, with ``whole``, such as 0.8, of their words in order, which is exact; an item found by this
+    alone has ``windows`` 1, ``run`` 0, and this share as ``covered`` and ``similarity``.
 
     The items are a stated query set: they are read in blocks of about ``block_words`` words, each block is broadcast, and
     every document is scanned once per block where it is read. Nothing is shuffled.
@@ -217,7 +229,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, window: int = 12, radius: in
         ``doc_id, item_id, windows, run, covered, similarity``: matching pairs of windows, the most equal words in a row (0: no
         equal window), the share of the item's words in matching windows, the best similarity of a window.
     """
-    if not 0 <= radius < _BLOCKS:
+    if not 0 <= radius <= 3:
         raise ValueError("radius must be from 0 to 3")
     spark = docs.sparkSession
     words = F.size(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), F.lit(1)))
@@ -229,7 +241,10 @@ def leaked_items(docs: DataFrame, items: DataFrame, window: int = 12, radius: in
     for part in range(parts):
         block = clean.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).toPandas()
         block["size"] = np.minimum(block["n"], window)
-        indexes = [ItemIndex(g["item_id"].to_numpy(), g["text"], int(size)) for size, g in block.groupby("size")]
+        indexes = [(ItemIndex(g["item_id"].to_numpy(), g["text"], int(size), radius), near) for size, g in block.groupby("size")]
+        if whole:
+            block["wide"] = 32 * 2 ** np.floor(np.log2(np.maximum(block["n"], 32) / 32)).astype(int)
+            indexes += [(ItemIndex(g["item_id"].to_numpy(), g["text"], int(size), WIDE_RADIUS, WIDE_STRIDE), WIDE_NEAR) for size, g in block[block["n"] >= 32].groupby("wide")]
         entire = WholeItems(block["item_id"].to_numpy(), block["text"], whole) if whole and len(block) else None
         shared = spark.sparkContext.broadcast((indexes, entire))
 
@@ -240,21 +255,25 @@ def leaked_items(docs: DataFrame, items: DataFrame, window: int = 12, radius: in
                     words, offsets = word_hashes(piece["text"])
                     ids, rows = piece["doc_id"].to_numpy(), []
                     by_window, by_item = shared.value
-                    for index in by_window:
+                    for index, least in by_window:
                         at, doc = _windows(words, offsets, index.size)
-                        who, what = index.near(window_fingerprints(words, index.size)[at], radius)
+                        who, what = index.near(window_fingerprints(words, index.size)[at])
                         owner = doc[who]
                         order = np.argsort(owner, kind="stable")
                         bounds = np.flatnonzero(np.diff(owner[order], prepend=-1, append=-1))
                         for a, b in zip(bounds[:-1], bounds[1:]):
                             chosen = order[a:b]
-                            rows += [(ids[owner[chosen[0]]], *hit) for hit in _doc_hits(index, words, at[who[chosen]], what[chosen], near)]
+                            rows += [(lo + owner[chosen[0]], *hit) for hit in _doc_hits(index, words, at[who[chosen]], what[chosen], least)]
                     if by_item:
                         known = {(r[0], r[1]) for r in rows}
-                        hits = [(ids[d], int(by_item.ids[i]), s) for (d, i), s in by_item.find(words, offsets).items()]
+                        hits = [(lo + d, int(by_item.ids[i]), s) for (d, i), s in by_item.find(words, offsets).items()]
                         rows += [(d, i, 1, 0, s, s) for d, i, s in hits if (d, i) not in known]
                     if rows:
-                        yield pd.DataFrame(rows, columns=["doc_id", "item_id", "windows", "run", "covered", "similarity"])
+                        out = pd.DataFrame(rows, columns=["row", "item_id", "windows", "run", "covered", "similarity"])
+                        # an item can be found by windows of both widths: the longest run and the best of the rest
+                        out = out.groupby(["row", "item_id"], as_index=False).agg({"windows": "sum", "run": "max", "covered": "max", "similarity": "max"})
+                        out.insert(0, "doc_id", ids[out.pop("row").to_numpy() - lo])
+                        yield out
 
         found = stacked(found, texts.mapInPandas(scan, _HIT))
     return found

@@ -170,7 +170,7 @@ def connect(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, shingle: int = 5,
-                    segments: int = 12, sketch_errors: int = 27, broadcast_rows: int = 1_000_000, all_links: bool = False, salt_rows: int = 500) -> tuple[DataFrame, DataFrame]:
+                    segments: int = 24, sketch_errors: int = 27, broadcast_rows: int = 1_000_000, all_links: bool = False, salt_rows: int = 500) -> tuple[DataFrame, DataFrame]:
     """Groups of texts whose shingle sets share at least ``threshold``, directly or through others.
 
     Method: a fingerprint of ``segments`` words of 23 bits, one bit of a min-hash each, so that two texts of similarity s
@@ -178,7 +178,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Golay code. By the pigeonhole principle two fingerprints with at most 3 * segments - 1 differing bits have a segment
     with at most two, and that segment gives them a common index. As 4,096 indices cannot tell millions of texts
     apart, a bucket is a segment's index together with a min-hash of the segment's own, which similar texts share with
-    probability s. Pairs that meet in a bucket and whose 64 further bits differ in at most ``sketch_errors`` are verified
+    probability s. So a pair meets in one of 24 segments with probability 0.992 at s = 0.55, 0.999 at 0.6 and more above; with 12 segments it is
+    0.91 and 0.97. ``segments`` can be raised for more. Pairs that meet in a bucket and whose 64 further bits differ in at most ``sketch_errors`` are verified
     on the exact shingle sets; at a similarity of 0.55 a pair differs in 14.4 of them, in more than 27 once in 16,000 times. With 64
     every pair that meets is verified. Texts of the same words are one class and only its smallest id is compared.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cordonlake.llm.defects import defective_pairs, fitted
@@ -50,12 +50,14 @@ def _parsed_groups(spark: SparkSession, sf_dir: str, all_links: bool = False):
     return near_duplicates(table(spark, sf_dir, "parsed_docs"), threshold=0.55, shingle=3, all_links=all_links)
 
 
-@query(r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(lower(any_value(text)), '[a-z0-9]+') AS w FROM parsed_docs GROUP BY doc_id),
+_LINKS = r"""d AS (SELECT doc_id, regexp_extract_all(lower(any_value(text)), '[a-z0-9]+') AS w FROM parsed_docs GROUP BY doc_id),
     s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)] WHEN len(w) > 0 THEN [array_to_string(w, ' ')] END) AS g FROM d),
     n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
     l AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL) JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE c >= 0.55 * (na.n + nb.n - c)),
-    e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
-    SELECT DISTINCT a AS doc_id_a, b AS doc_id_b FROM r WHERE a < b""")
+    e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)"""
+
+
+@query(f"WITH RECURSIVE {_LINKS} SELECT DISTINCT a AS doc_id_a, b AS doc_id_b FROM r WHERE a < b")
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of parsed documents in one group of near duplicates; the pairs are what is asked for, so groups expand here."""
     members, _ = _parsed_groups(spark, sf_dir)
@@ -64,7 +66,9 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "group_id").where("doc_id_a < doc_id_b").select("doc_id_a", "doc_id_b")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_LINKS}, c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY array_to_string(w, ' ')) AS class_id FROM d WHERE len(w) > 0), heads AS (SELECT DISTINCT class_id FROM c),
+    n2 AS (SELECT x.a AS class_id, count(*) AS n_links FROM e x WHERE x.a IN (FROM heads) AND x.b IN (FROM heads) GROUP BY x.a), g AS (SELECT a AS doc_id, min(b) AS other FROM r GROUP BY a)
+    SELECT c.doc_id, c.class_id, least(c.doc_id, coalesce(g.other, c.doc_id)) AS group_id, coalesce(n_links, 0) AS n_links FROM c LEFT JOIN n2 USING (class_id) LEFT JOIN g ON g.doc_id = c.doc_id""")
 def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every parsed document with its class of equal texts, its group and the number of links of its class."""
     members, links = _parsed_groups(spark, sf_dir, all_links=True)
@@ -77,8 +81,8 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, min(pos)::INTEGER AS first_block FROM m GROUP BY doc_id, run HAVING sum(b.len) + count(*) - 1 > 2000""")
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of blocks of one section that had to be cut."""
-    pieces = split_items(table(spark, sf_dir, "parsed_docs"), only_oversized=True, with_text=False)
-    return pieces.where("piece = 0").select("doc_id", "first_block").distinct()
+    pieces = split_items(table(spark, sf_dir, "parsed_docs"), with_text=False)
+    return pieces.where("piece = 1").select("doc_id", "first_block").distinct()
 
 
 @query()
@@ -87,6 +91,24 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_items(table(spark, sf_dir, "parsed_docs")).dropDuplicates(["doc_id", "first_block", "piece"])
 
 
+@query("""WITH d AS (SELECT doc_id, any_value(blocks) AS blocks FROM parsed_docs GROUP BY doc_id), b AS (SELECT doc_id, unnest(blocks) AS b, generate_subscripts(blocks, 1) - 1 AS pos FROM d),
+    m AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM (SELECT *, CASE WHEN pos = 0 OR b.section IS DISTINCT FROM lag(b.section) OVER (PARTITION BY doc_id ORDER BY pos) THEN 1 ELSE 0 END AS new FROM b)),
+    i AS (SELECT doc_id, min(pos)::INTEGER AS first_block, (sum(b.len) + count(*) - 1)::BIGINT AS chars FROM m GROUP BY doc_id, run)
+    SELECT doc_id, first_block, chars AS covered, chars > 2000 AS divided, 0 AS n_gaps, 0 AS n_too_long, 0 AS n_odd_overlaps, true AS few_pieces FROM i""")
+def p3_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the pieces of every item must keep: they cover it without gaps, none is too long, each repeats up to 200 characters of the one before it, and there
+    are at most half as many again as the fewest that could do, and one."""
+    pieces = split_items(table(spark, sf_dir, "parsed_docs"), with_text=False).dropDuplicates(["doc_id", "first_block", "piece"])
+    before = Window.partitionBy("doc_id", "first_block").orderBy("piece")
+    ahead = F.lag("end").over(before)
+    laid = pieces.withColumn("own", F.col("end") - F.coalesce(ahead, F.col("start"))).withColumn("over", ahead - F.col("start"))
+    fewest = F.ceil((F.first("item_chars") - 200) / 1800)
+    return laid.groupBy("doc_id", "first_block").agg(
+        F.sum("own").alias("covered"), (F.count("*") > 1).alias("divided"), F.count_if(F.col("over") < 0).alias("n_gaps"), F.count_if(F.col("end") - F.col("start") > 2000).alias("n_too_long"),
+        F.count_if((F.col("over") > 200) | (F.col("over") < 1)).alias("n_odd_overlaps"), (F.count("*") <= F.greatest(F.lit(1), 1.5 * fewest + 1)).alias("few_pieces"),
+    )
+
+
 @query("""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents), i AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM eval_items),
     dw AS (SELECT doc_id, unnest([md5(array_to_string(w[k : k + 11], ' ')) for k in range(1, len(w) - 10)]) AS g FROM d WHERE len(w) >= 12), iw AS (SELECT item_id, unnest([md5(array_to_string(w[k : k + 11], ' ')) for k in range(1, len(w) - 10)]) AS g FROM i WHERE len(w) >= 12)
     SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (g)""")

@@ -28,33 +28,82 @@ _LEVELS = [
 ]
 
 
-def split_spans(text: str, limit: int) -> list[tuple[int, int]]:
-    """Spans that cover ``text``, each of ``limit`` characters at most.
+_BOUNDARY = re.compile(r"(?<=\s)(?=\S)")
+
+
+class Node:
+    """A stretch of text in the tree of its structure; ``children`` cover it, none if nothing divides it."""
+
+    def __init__(self, start: int, end: int):
+        self.start, self.end = start, end
+        self.children: list[Node] = []
+
+    def __len__(self) -> int:
+        return self.end - self.start
 
-    Headings, paragraphs, list items, lines, sentences, clauses and words are the levels of a tree. A node over the
-    limit is cut into its children, children still over it are cut in turn, and neighbouring siblings are merged as long
-    as they fit together. Only a run without any boundary is cut at the limit itself.
+
+def structure(text: str, limit: int) -> Node:
+    """The tree of a text: headings hold the headings below them, these paragraphs, list items, lines, sentences, clauses and words.
+
+    Nodes within the limit are not divided further; a run without any boundary is divided at the limit itself.
     """
-    out: list[tuple[int, int]] = []
-    todo = [(0, len(text), 0)]
+    root = Node(0, len(text))
+    todo = [(root, 0)]
     while todo:
-        start, end, level = todo.pop()
-        if end - start <= limit:
-            out.append((start, end))
+        node, level = todo.pop()
+        if len(node) <= limit:
             continue
-        if level == len(_LEVELS):
-            out.extend((a, min(end, a + limit)) for a in range(start, end, limit))
+        cuts: list[int] = []
+        while not cuts and level < len(_LEVELS):
+            cuts = sorted({m.end() for m in _LEVELS[level].finditer(text, node.start, node.end) if node.start < m.end() < node.end})
+            level += 1
+        edges = [node.start, *(cuts or range(node.start + limit, node.end, limit)), node.end]
+        node.children = [Node(a, b) for a, b in zip(edges, edges[1:])]
+        todo.extend((c, level) for c in node.children)
+    return root
+
+
+def merged(root: Node, limit: int) -> list[tuple[int, int]]:
+    """Spans of ``limit`` characters at most, by merging neighbouring subtrees from the bottom up.
+
+    A node gives one span if it fits. Otherwise it takes the spans that its children gave, and joins neighbours as long as they fit together; what is
+    left over at the end of a divided child is joined with the sibling that follows.
+    """
+    spans: dict[int, list[tuple[int, int]]] = {}
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo.extend(node.children)
+    for node in reversed(order):  # children before their parents
+        if not node.children:
+            spans[id(node)] = [(node.start, node.end)]
             continue
-        cuts = sorted({m.end() for m in _LEVELS[level].finditer(text, start, end) if start < m.end() < end})
-        edges = [start, *cuts, end]
-        packed: list[tuple[int, int]] = []
-        for a, b in zip(edges, edges[1:]):
-            if packed and b - packed[-1][0] <= limit:
-                packed[-1] = (packed[-1][0], b)
+        own: list[tuple[int, int]] = []
+        for a, b in (s for c in node.children for s in spans.pop(id(c))):
+            if own and b - own[-1][0] <= limit:
+                own[-1] = (own[-1][0], b)
             else:
-                packed.append((a, b))
-        todo.extend((a, b, level + 1) for a, b in reversed(packed))
-    return out
+                own.append((a, b))
+        spans[id(node)] = own
+    return spans[id(root)]
+
+
+def split_spans(text: str, limit: int) -> list[tuple[int, int]]:
+    """Spans that cover ``text``, each of ``limit`` characters at most: :func:`merged` over its :func:`structure`."""
+    return merged(structure(text, limit), limit)
+
+
+def overlap_start(text: str, at: int, overlap: int, floor: int) -> int:
+    """Where the overlap ahead of ``at`` begins: at the first word within ``overlap`` characters of it, not before ``floor``.
+
+    Where no word begins there, it has its full length.
+    """
+    first = max(floor, at - overlap)
+    if first == floor or first == at:
+        return first
+    m = _BOUNDARY.search(text, first, at)
+    return m.start() if m else first
 
 
 def split_items(docs: DataFrame, limit: int = 2000, overlap: int = 200, only_oversized: bool = False, with_text: bool = True) -> DataFrame:
@@ -66,7 +115,8 @@ def split_items(docs: DataFrame, limit: int = 2000, overlap: int = 200, only_ove
         docs: ``doc_id``, ``text`` and ``blocks(len, page, section)``; other columns are ignored. ``text`` is the blocks
             joined by one newline. Null or empty ``blocks`` give no items; a null text counts as empty.
         limit: characters of a piece at most, the overlap included.
-        overlap: characters by which a piece repeats the end of the piece before it (all of that piece, if shorter).
+        overlap: characters by which a piece repeats the end of the piece before it (all of that piece, if shorter), less what is
+            ahead of the first word that begins among them.
         only_oversized: leave out items that fit; they come as one piece otherwise.
         with_text: without it ``text`` is null.
 
@@ -101,7 +151,7 @@ def split_items(docs: DataFrame, limit: int = 2000, overlap: int = 200, only_ove
                         for k, (a, b) in enumerate(spans):
                             while block + 1 < len(bounds) and bounds[block + 1] <= at + a:
                                 block += 1
-                            begin = max(before, a - overlap) if k else a
+                            begin = overlap_start(item, a, overlap, before) if k else a
                             rows.append((doc, first, last - first + 1, size, k, at + begin, at + b, pages[first + block], sections[first], item[begin:b] if with_text else None))
                             before = a
                     at, first = at + size + 1, last + 1

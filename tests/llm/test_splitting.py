@@ -1,7 +1,7 @@
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from cordonlake.llm.splitting import split_items, split_spans
+from cordonlake.llm.splitting import split_items, split_spans, structure
 
 SCHEMA = "doc_id string, text string, blocks array<struct<len int, page int, section string>>, page string, piece int"
 
@@ -21,6 +21,25 @@ def test_cuts_are_natural():
     assert split_spans("x" * 25, 10) == [(0, 10), (10, 20), (20, 25)]
 
 
+def test_subtrees_are_merged_from_the_bottom_up():
+    # the second part is divided; its short end goes with the part that follows
+    text = "# A\naaaa.\n" + "# B\n" + "bbb bbb bbb. " * 4 + "end.\n" + "# C\ncc.\n"
+    got = [text[a:b] for a, b in split_spans(text, 30)]
+    assert "".join(got) == text and all(len(x) <= 30 for x in got)
+    assert got[-1].startswith("bbb") and got[-1].endswith("end.\n# C\ncc.\n") or got[-1] == "end.\n# C\ncc.\n"
+    tree = structure(text, 30)
+    assert [text[c.start : c.end][:3] for c in tree.children] == ["# A", "# B", "# C"] and not tree.children[0].children and tree.children[1].children
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 12), min_size=1, max_size=120), st.integers(15, 60))
+def test_few_pieces(words, limit):
+    text = " ".join("w" * n for n in words)
+    spans = split_spans(text, limit)
+    # neighbours never fit together, so there are fewer than twice as many as the fewest that could do
+    assert all(b2 - a1 > limit for (a1, _), (_, b2) in zip(spans, spans[1:]))
+
+
 def doc(name, blocks, **extra):
     return (name, "\n".join(t for t, _, _ in blocks), [(len(t), p, s) for t, p, s in blocks], "x", 0)
 
@@ -34,8 +53,9 @@ def test_pieces_give_the_item_back(spark):
     assert [r["first_block"] for r in got if r["piece"] == 0] == [0, 2, 14, 15]
     pieces = [r for r in got if r["first_block"] == 2]
     assert len(pieces) > 3 and all(len(r["text"]) <= 300 and r["text"] == text[r["start"] : r["end"]] for r in pieces)
-    assert all(b["start"] == a["end"] - 50 for a, b in zip(pieces, pieces[1:]))
-    assert "".join([pieces[0]["text"]] + [r["text"][50:] for r in pieces[1:]]) == "\n".join(t for t, _, _ in big)
+    over = [a["end"] - b["start"] for a, b in zip(pieces, pieces[1:])]
+    assert all(30 <= n <= 50 for n in over) and all(text[r["start"] - 1].isspace() for r in pieces[1:])
+    assert "".join([pieces[0]["text"]] + [r["text"][n:] for r, n in zip(pieces[1:], over)]) == "\n".join(t for t, _, _ in big)
     assert [r["page"] for r in pieces] == sorted(r["page"] for r in pieces) and {r["section"] for r in pieces} == {"A"}
     only = split_items(spark.createDataFrame(rows, SCHEMA), 300, 50, only_oversized=True, with_text=False).select("doc_id", "first_block").distinct().collect()
     assert {tuple(r) for r in only} == {("d", 2), ("n", 0)}
