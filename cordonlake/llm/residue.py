@@ -24,19 +24,20 @@ LATIN = "lorem|ipsum|dolor|amet|elit|aliqua|veniam|nostrud|fugiat|pariatur|cillu
 
 # Weak labels: what a message of a server or viewer speaks of, by kind. A phrase marks a line; a line with prose around a phrase is marked as good.
 NOTICES = {
-    "status": rf"""^\W*(?:http/[\d.]+\s+)?(?:error\s+)?[45]\d\d\W+(?:{STATUS})|\b(?:status|code|error)["']?\s*[:>]\s*["']?(?:[45]\d\d\b|{STATUS})|^http/[\d.]+ \d""",
-    "program": r"""^traceback|^\s*file ".*", line \d|^\w*(?:error|exception):\s|fatal error|stack trace""",
-    "missing": r"""(?:page|site|document|file|link|resource).{0,30}(?:not (?:be )?found|no longer|does not exist|(?:has )?moved|unavailable)""",
+    "status": rf"""^\W*(?:http/[\d.]+\s+)?(?:error\s+)?[45]\d\d\W+(?:{STATUS})|\b(?:status|code|error)["']?\s*[:>]\s*["']?(?:[45]\d\d\b|{STATUS})|^http/[\d.]+ \d|^(?:retry-after|content-(?:length|type)|cache-control|connection|server|date|x-[\w-]+): ?\S+$""",
+    "program": r"""^traceback|^\s*file ".*", line \d|^\w*(?:error|exception):\s|fatal error|stack trace|^warning: \w+\(|failed to (?:open stream|start|load)""",
+    "missing": r"""find (?:that|this|the) (?:page|file|document)|(?:page|site|document|filing|file|link|resource).{0,30}(?:not (?:be )?found|no longer|does not exist|never existed|(?:has )?moved|unavailable)""",
     "access": r"""(?:access|permission).{0,20}(?:denied|blocked|refused)|(?:log|sign) ?in (?:required|again|to)|session (?:has )?expired""",
-    "script": r"""(?:enable|turn on|activate|allow|requires?|needs?|without)\W.{0,30}(?:java ?script|scripts?\b|cookies)|(?:javascript|scripts?|cookies) (?:is |are )?(?:required|disabled|off)\b|browser.{0,40}support""",
-    "load": r"""captcha|not a robot|too many requests|try again (?:later|in)|temporarily (?:offline|unavailable)|under maintenance""",
-    "network": r"""(?:could|can) ?not (?:connect|be (?:reached|loaded))|connection.{0,30}(?:reset|refused|timed out)|something went wrong|unexpected error""",
-    "abroad": r"""nicht gefunden|zugriff verweigert|javascript aktivieren|introuvable|accès refusé|activer javascript|no encontrada|acceso denegado|active javascript""",
+    "script": r"""(?:enable|turn on|activate|allow|requires?|needs?|without)\W.{0,30}(?:java ?script|script(?:s|ing)?\b|client-side|cookies)|(?:javascript|scripts?|cookies|active content) (?:is |are )?(?:required|disabled|turned off|off)\b|browser.{0,40}(?:support|does not run|block)|\bblocker\b""",
+    "load": r"""captcha|not a robot|too many requests|try again (?:later|in)|temporarily (?:offline|unavailable)|maintenance|be back (?:soon|shortly)""",
+    "network": r"""(?:could|can) ?not (?:connect|be (?:reached|loaded))|connection.{0,30}(?:reset|refused|timed out)|(?:name|host|dns) lookup|certificate.{0,40}(?:expired|invalid|not trusted|run out)|database connection|something went wrong|unexpected (?:error|problem)""",
+    "abroad": r"""nicht gefunden|zugriff verweigert|javascript aktivieren|aktivieren sie|introuvable|accès refusé|activer javascript|no encontrada|acceso denegado|active javascript""",
 }
 _NOTICE = re.compile("|".join(NOTICES.values()), re.I)
 _FILLER = re.compile(
     rf"lorem ipsum|(?:\b(?:{LATIN})\b.*){{3}}|(?:[asdfghjkl]{{4,}}\s+){{4}}|(?:qwer|asdf|zxcv)\w*\s+(?:\w*(?:qwer|asdf|zxcv|hjkl|sdfg)\w*\s*){{2}}"
-    r"|\b(\w+(?: \w+)?)(?:[\s,.]+\1\b){5}|(?:your|sample|dummy|filler|placeholder|example) (?:text|copy|paragraph|content)\b|(?:text|copy|paragraph|content)\b.{0,40}\b(?:goes here|to be replaced|will follow|to come)\b|blindtext|faux texte|texto de relleno",
+    # a word or two over and over, a sentence that comes again in its paragraph
+    r"|\b(\w+(?: \w+)?)(?:[\s,.]+\1\b){5}|(?:^|[.!?] )([A-Z][^.\n]{12,80}\.) (?:[^\n]{0,200} )?\2|\bdummy (?:line|word|text)s?\b|\bmock-?up\b|(?:your|sample|dummy|filler|placeholder|example) (?:text|copy|paragraph|content)\b|(?:text|copy|paragraph|content)\b.{0,40}\b(?:goes here|to be replaced|will follow|to come)\b|blindtext|faux texte|texto de relleno",
     re.I | re.S,
 )
 _PROSE = re.compile(r"\b(?:shall|must|may|will|agrees? to|plans? to|expects? to|such as|for example|where the)\b", re.I)
@@ -50,10 +51,12 @@ _SURE_MARK = re.compile(
     r"\{\{.*\}\}|\{%.*%\}|<%.*%>|%%\w+%%|%\(\w+\)s?|@@\w+@@|\[\[[A-Za-z_ ]+\]\]|<<[A-Za-z_ ]+>>|\[(?:insert|enter|tbd|todo|name of|your|date of)\b.*\]|\((?:enter|insert)\b.*\)|(?:TODO|FIXME):.*|<\w+_here>|<!-- .*missing.*-->|\[[●•]\]|XX/XX/(?:20)?XX(?:XX)?|__[A-Z_]+__|\{\d\}|[$#]\{\w+\}",
     re.I,
 )
-_ABOUT = re.compile(r"\b(?:variable|template|stands for|expands|called|marked|notation|syntax|written as|literal|note|table|code|command|fields?|reads|withheld|omitted|left out|confidential|redacted|signature|signed|dated|element|tag)\b", re.I)
+_ABOUT = re.compile(r"\b(?:variable|template|ends (?:with|in)|stands for|expands|called|marked|notation|syntax|written as|literal|note|table|code|command|fields?|reads|withheld|omitted|left out|confidential|redacted|signature|signed|dated|element|tag|such as)\b", re.I)
 _NOT_MARK = re.compile(r"^_{3,}$|^\[\d+\]$|^<\d+>$|^\[\*+\]$|^\[(?:redacted|omitted|sic|\.\.\.|…)\]$|^\{\}$", re.I)
-# Marks put into sample lines, so that the classifier knows both sides even where a sample has none.
-MADE_MARKS = [("{{ name }}", 1.0), ("[insert date]", 1.0), ("<% owner %>", 1.0), ("TODO: amount", 1.0), ("__________", 0.0), ("[12]", 0.0), ("[***]", 0.0), ("[omitted]", 0.0)]
+# Marks put into sample lines where a sample has fewer than so many that are sure, so that the classifier knows both sides.
+MADE_BELOW = 50
+MADE_MARKS = [("{{ name }}", 1.0), ("[insert date]", 1.0), ("<% owner %>", 1.0), ("TODO: amount", 1.0), ("[Name of the party]", 1.0), ("~TITLE~", 1.0), ("[_owner_]", 1.0), ("%%DATE%%", 1.0),
+              ("__________", 0.0), ("[12]", 0.0), ("[***]", 0.0), ("[omitted]", 0.0)]
 _WORD = re.compile(r"[^\W\d_]+|\d+")
 _LINE = re.compile(r"[^\n\f\r]+")
 
@@ -167,7 +170,7 @@ def _weak_line(line: str) -> tuple[list[float], list[float]]:
 def _weak_mark(text: str, start: int, end: int) -> tuple[float, float]:
     mark, left = text[start:end], text[max(0, start - 40) : start].rsplit("\n", 1)[-1]
     right = text[end : end + 30].split("\n", 1)[0]
-    if _NOT_MARK.search(mark) or _ABOUT.search(left) or re.match(r"\s*(?:names|stands|expands|means|denotes|is|are|was|were)\b", right) or left.endswith(("/", '"', "“")):
+    if _NOT_MARK.search(mark) or _ABOUT.search(left) or re.match(r"\s*(?:names|stands|expands|means|denotes|,? after which|(?:was|were) left)\b", right) or left.endswith(("/", '"', "“")):
         return 0.0, 1.0
     return (1.0, 1.0) if _SURE_MARK.fullmatch(mark) else (0.0, 0.0)
 
@@ -205,7 +208,7 @@ class ResidueModel:
                     marks.append(mark_features(text, m.start(), m.end()))
                     m_y.append([label])
                     m_held.append(out)
-        for text, start, end, label, out in made:
+        for text, start, end, label, out in made if len(marks) < MADE_BELOW else []:
             marks.append(mark_features(text, start, end))
             m_y.append([label])
             m_held.append(out)
