@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cordonlake.functions.text import run_lengths, search_terms, words
@@ -34,10 +34,15 @@ def postings(chunks: DataFrame, stopwords: bool = False) -> DataFrame:
     return one.select(F.col("p.item").alias("term"), "chunk_id", F.col("p.n").cast("long").alias("tf"), "dl")
 
 
+def _kinds(tokens: Column) -> Column:
+    """The distinct words of a row; sorted first, as ``array_distinct`` compares every string with every other."""
+    return F.transform(run_lengths(tokens), lambda p: p["item"])
+
+
 def document_frequency(chunks: DataFrame, stopwords: bool = False) -> DataFrame:
     """``term, df``: chunks per word. What a partition holds of a word is added up before the shuffle."""
     tokens = words(F.col("body")) if stopwords else search_terms(F.col("body"))
-    return chunks.select(F.explode(F.array_distinct(tokens)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return chunks.select(F.explode(_kinds(tokens)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
 def prune_frequent(df: DataFrame, n_chunks: DataFrame, share: float = 0.3) -> DataFrame:
@@ -151,7 +156,7 @@ def bm25_search(questions: DataFrame, chunks: DataFrame, k: int = 50, k1: float
     terms = questions.select("query_id", F.explode(F.array_distinct(search_terms(F.col("question")))).alias("term"))
     tokens = chunks.select(search_terms(F.col("body")).alias("t")).where(F.size("t") > 0)
     # the empty word stands for the chunk itself
-    marked = F.concat(F.array(F.struct(F.lit("").alias("term"), F.size("t").alias("dl"))), F.transform(F.array_distinct("t"), lambda x: F.struct(x.alias("term"), F.lit(0).alias("dl"))))
+    marked = F.concat(F.array(F.struct(F.lit("").alias("term"), F.size("t").alias("dl"))), F.transform(_kinds(F.col("t")), lambda x: F.struct(x.alias("term"), F.lit(0).alias("dl"))))
     every = tokens.select(F.explode(marked).alias("e")).select("e.*")
     stats = materialize(every.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("words")), "frequencies")
     whole = stats.where("term = ''").first()

@@ -33,7 +33,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parsed documents, each once. Counting the repeated rows is a job, so it is done once for a session and folder."""
     at = (spark.sparkContext.applicationId, sf_dir)
     if at not in _DOCUMENTS:
-        _DOCUMENTS[at] = corpus.one_per_document(table(spark, sf_dir, "parsed_docs"))
+        rows = table(spark, sf_dir, "parsed_docs")
+        once = corpus.one_per_document(rows)
+        # a table of fewer files than there are cores is spread over them; a large one is left as it lies
+        cores = spark.sparkContext.defaultParallelism
+        _DOCUMENTS[at] = once.repartition(cores) if rows.rdd.getNumPartitions() < cores else once
     return _DOCUMENTS[at]
 
 
