@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -14,7 +15,8 @@ from cordonlake.llm.words import mix64, shingle_hashes, word_hashes
 from cordonlake.session import materialize, stacked
 
 BITS = 23  # length of a word of the perfect binary Golay code, which decodes every word within 3 errors
-_SKETCH = "doc string, c1 long, c2 long, n_shingles int, sketch long, keys array<long>"
+SHORT = 64  # shingles; with fewer, min-hashes of one text repeat too often for its fingerprint to be held against others
+_SKETCH = "doc string, c1 long, c2 long, n_shingles int, sketch array<long>, keys array<long>"
 
 
 @cache
@@ -97,8 +99,8 @@ def _minima(shingles: np.ndarray, owner: np.ndarray, texts: int, slots: int, see
     return mix64(out[:, :slots] + np.arange(slots, dtype=np.uint64))
 
 
-def _sketches(texts: pd.Series, shingle: int, segments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Content keys, shingle counts, 64-bit sketches and bucket keys of texts."""
+def _sketches(texts: pd.Series, shingle: int, segments: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Content keys, shingle counts, fingerprints (64 bits to a number) and bucket keys of texts."""
     with np.errstate(over="ignore"):
         words, offsets = word_hashes(texts)
         n = len(texts)
@@ -115,17 +117,18 @@ def _sketches(texts: pd.Series, shingle: int, segments: int) -> tuple[np.ndarray
         fresh[1:] = (s[1:] != s[:-1]) | (owner[1:] != owner[:-1])
         s, owner = s[fresh], owner[fresh]
         count = np.bincount(owner, minlength=n)
-        low = _minima(s, owner, n, segments * (BITS + 1) + 64, 1)
+        low = _minima(s, owner, n, segments * (BITS + 1), 1)
         bits = (low[:, : segments * BITS] & np.uint64(1)).astype(np.int32).reshape(n, segments, BITS)
         words23 = (bits << np.arange(BITS)).sum(2)
-        anchors = low[:, segments * BITS : segments * (BITS + 1)]
-        sketch = np.packbits((low[:, segments * (BITS + 1) :] & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)[:, 0]
+        anchors = low[:, segments * BITS :]
+        flags = np.pad(bits.reshape(n, -1).astype(np.uint8), ((0, 0), (0, -segments * BITS % 64)))
+        sketch = np.packbits(flags, axis=1).view(np.int64)
         found, fresh = codeword_keys(words23.reshape(-1))
         prefix = mix64(anchors + np.arange(segments, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)).reshape(-1)
         keys = mix64(prefix[:, None] ^ found.astype(np.uint64)).view(np.int64)
         per = fresh.reshape(n, -1)
         flat, ends = keys.reshape(n, -1)[per], np.cumsum(per.sum(1))[:-1]
-        return content, count, sketch, np.split(flat, ends)
+        return content, count, list(sketch), np.split(flat, ends)
 
 
 def _shingle_sets(docs: pd.Series, texts: pd.Series, shingle: int) -> dict[str, np.ndarray]:
@@ -170,7 +173,7 @@ def connect(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, shingle: int = 5,
-                    segments: int = 24, sketch_errors: int = 27, broadcast_rows: int = 1_000_000, all_links: bool = False, salt_rows: int = 500) -> tuple[DataFrame, DataFrame]:
+                    segments: int = 24, sketch_sigmas: float | None = 5.0, broadcast_rows: int = 1_000_000, all_links: bool = False, salt_rows: int = 500) -> tuple[DataFrame, DataFrame]:
     """Groups of texts whose shingle sets share at least ``threshold``, directly or through others.
 
     Method: a fingerprint of ``segments`` words of 23 bits, one bit of a min-hash each, so that two texts of similarity s
@@ -179,9 +182,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     with at most two, and that segment gives them a common index. As 4,096 indices cannot tell millions of texts
     apart, a bucket is a segment's index together with a min-hash of the segment's own, which similar texts share with
     probability s. So a pair meets in one of 24 segments with probability 0.992 at s = 0.55, 0.999 at 0.6 and more above; with 12 segments it is
-    0.91 and 0.97. ``segments`` can be raised for more. Pairs that meet in a bucket and whose 64 further bits differ in at most ``sketch_errors`` are verified
-    on the exact shingle sets; at a similarity of 0.55 a pair differs in 14.4 of them, in more than 27 once in 16,000 times. With 64
-    every pair that meets is verified. Texts of the same words are one class and only its smallest id is compared.
+    0.91 and 0.97. ``segments`` can be raised for more. Pairs that meet in a bucket are compared in their whole
+    fingerprints before their texts are fetched: a pair at the threshold differs in a share of (1 - threshold) / 2 of the bits, and one that differs in
+    ``sketch_sigmas`` standard deviations more is not verified. At 5, which a linked pair exceeds less than once in a million times, a pair of similarity
+    0.25 passes once in 700 times. Texts of fewer than ``SHORT`` shingles, whose bits depend on each other, are always verified, and with
+    None every pair that meets is. Texts of the same words are one class and only its smallest id is compared.
 
     Buckets are first linked to their smallest member and verified, which takes one pair per member; only members that
     this leaves in different groups are then paired, so a large group of near copies never expands into all its pairs.
@@ -214,7 +219,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     heads = docs.join(reps, (docs["doc"] == reps["rep"]) & (docs["c1"] == reps["c1"]) & (docs["c2"] == reps["c2"]), "left_semi").dropDuplicates(["doc"])
     heads = materialize(heads.select("doc", "n_shingles", "sketch", "keys", F.monotonically_increasing_id().alias("n")), "heads")
 
-    near = F.bit_count(F.col("sketch_a").bitwiseXOR(F.col("sketch_b"))) <= sketch_errors
+    bits, unlike = segments * BITS, (1 - threshold) / 2
+    differ = reduce(add, (F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(-(-bits // 64))))
+    near = F.lit(True) if sketch_sigmas is None else (F.least("size_a", "size_b") < SHORT) | (differ <= bits * unlike + sketch_sigmas * (bits * unlike * (1 - unlike)) ** 0.5)
     sized = F.least("size_a", "size_b") >= threshold * F.greatest("size_a", "size_b")
     side = {x: heads.select(F.col("n").alias(x), F.col("doc").alias(f"doc_{x}"), F.col("sketch").alias(f"sketch_{x}"), F.col("n_shingles").alias(f"size_{x}")) for x in "ab"}
 

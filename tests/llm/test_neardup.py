@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pandas as pd
 
-from cordonlake.llm.neardup import codeword_keys, connect, near_duplicates, nearest_codeword
+from cordonlake.llm.neardup import _sketches, codeword_keys, connect, near_duplicates, nearest_codeword
 
 SCHEMA = "doc_id string, text string, a string, b string, n int, key string, sketch int"
 
@@ -90,3 +90,19 @@ def test_indexed_series_are_fine(spark):
     df = spark.createDataFrame(pd.DataFrame({"doc_id": ["a", "b"], "text": ["x y z u v w", "x y z u v w q"]}))
     members, _ = near_duplicates(df, threshold=0.8, shingle=3)
     assert len({r["group_id"] for r in members.collect()}) == 1
+
+
+def test_fingerprints_of_linked_texts_stay_within_five_deviations():
+    rng = np.random.default_rng(4)
+    pairs = []
+    for size in (66, 120, 400):
+        for _ in range(300):
+            words = [f"w{x}" for x in rng.integers(1 << 40, size=size)]
+            at = set(rng.choice(size, size // 11, replace=False))
+            pairs.append((" ".join(words), " ".join(f"v{i}" if i in at else w for i, w in enumerate(words))))
+    near = np.array([len(shingles(a, 3) & shingles(b, 3)) / len(shingles(a, 3) | shingles(b, 3)) for a, b in pairs])
+    bits = [np.array(_sketches(pd.Series(side), 3, 24)[2]).view(np.uint64) for side in zip(*pairs)]
+    differ = np.bitwise_count(bits[0] ^ bits[1]).sum(1)
+    linked = (near >= 0.55) & (near < 0.65)
+    assert linked.sum() > 300 and differ[linked].max() <= 552 * 0.225 + 5 * (552 * 0.225 * 0.775) ** 0.5
+    assert abs(differ[linked].mean() / 552 - (1 - near[linked].mean()) / 2) < 0.01
