@@ -5,17 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cordonlake.functions.text import run_lengths, search_terms, words
-from cordonlake.session import bounded_pandas, materialize, stacked
+from cordonlake.session import in_order, materialize, names_at, read_batches
 
 WEIGHT_ROWS = 2_000_000
-_CELLS = 4_000_000  # scores held at once
+TASK_ROWS = 100_000
+_CELLS = 8_000_000  # scores held at once
 
 
 def counted(chunks: DataFrame, stopwords: bool = False) -> DataFrame:
@@ -67,79 +67,133 @@ def top_k(scored: DataFrame, k: int, score: str = "score", item: str = "chunk_id
 
 
 class _Weights:
-    """Weights of the terms of some queries, by term: queries ``query[first[t]:first[t + 1]]`` have term ``t``."""
-
-    def __init__(self, rows: pd.DataFrame):
-        self.terms, term = np.unique(rows["term"].to_numpy(object).astype(str), return_inverse=True)
-        self.queries, query = np.unique(rows["query_id"].to_numpy(object).astype(str), return_inverse=True)
+    """Weights of the terms of some queries. Each distinct pair of term and weight is a line; query ``q`` adds up the lines ``line[first[q]:first[q + 1]]``."""
+
+    def __init__(self, rows: pa.Table):
+        terms, queries = (rows.column(c).combine_chunks().dictionary_encode() for c in ("term", "query_id"))
+        self.terms, term = terms.dictionary, terms.indices.to_numpy()
+        self.queries, query = queries.dictionary, queries.indices.to_numpy()
+        pairs, line = np.unique(np.stack([term, rows.column("weight").to_numpy()], 1), axis=0, return_inverse=True)
+        self.term, self.weight = pairs[:, 0].astype(np.int64), pairs[:, 1]
+        order = np.argsort(query, kind="stable")
+        self.line = line.ravel()[order]
+        self.first = np.searchsorted(query[order], np.arange(len(self.queries) + 1))
+
+    def blocks(self, most: int) -> Iterator[tuple[int, int, np.ndarray, list[list[int]]]]:
+        """Runs of queries with at most ``most`` lines among them, or one query: from, to, their lines, and for each query its own among these."""
+        lo, used = 0, {}
+        own: list[list[int]] = []
+        for q in range(len(self.queries)):
+            lines = self.line[self.first[q] : self.first[q + 1]].tolist()
+            if own and len(used) + sum(x not in used for x in lines) > most:
+                yield lo, q, np.fromiter(used, np.int64), own
+                lo, used, own = q, {}, []
+            own.append([used.setdefault(x, len(used)) for x in lines])
+        if own:
+            yield lo, len(self.queries), np.fromiter(used, np.int64), own
+
+
+def _search(w: _Weights, files: list[str], impact, k: int, cells: int) -> Iterator[pa.RecordBatch]:
+    """The k best chunks of each query, of chunks that come in order of their ids: of equal scores the one that came first is kept.
+
+    What is held are the k best of each query and one table of scores of lines by chunks, of about ``cells`` values.
+    """
+    q_n = len(w.queries)
+    blocks = list(w.blocks(max(1, cells // 512)))
+    most = max(len(lines) for _, _, lines, _ in blocks)
+    width = max(1, min(8192, cells // most))
+    table, room = np.zeros((most, width)), np.empty(width)
+    scores, places, floor = [np.zeros(0)] * q_n, [np.zeros(0, np.int64)] * q_n, np.zeros(q_n)  # floor: what a score must exceed
+    base = 0
+    for batch in read_batches(files, ["chunk_id", "posts", "dl"], width):
+        posts, n = batch.column("posts"), batch.num_rows
+        flat = posts.flatten()
+        sizes = pc.fill_null(pc.list_value_length(posts), 0).to_numpy(zero_copy_only=False)
+        term = pc.fill_null(pc.index_in(flat.field("item"), value_set=w.terms), -1).to_numpy(zero_copy_only=False)
         order = np.argsort(term, kind="stable")
-        self.query, self.weight = query[order], rows["weight"].to_numpy(float)[order]
-        self.first = np.searchsorted(term[order], np.arange(len(self.terms) + 1))
-
-
-def _best_of_batch(batch: pa.RecordBatch, w: _Weights, impact, k: int) -> Iterator[pa.RecordBatch]:
-    """The k best chunks of a batch for each query, ties to the smaller id."""
-    names = np.array(batch.column("chunk_id").to_pylist(), object).astype(str)
-    place = np.empty(len(names), np.int64)
-    by_name = np.argsort(names, kind="stable")
-    place[by_name] = np.arange(len(names))
-    posts = batch.column("posts")
-    flat = posts.flatten()
-    sizes = pc.fill_null(pc.list_value_length(posts), 0).to_numpy()
-    term = pc.fill_null(pc.index_in(flat.field("item"), value_set=pa.array(w.terms, pa.string())), -1).to_numpy()
-    chunk = place[np.repeat(np.arange(len(names)), sizes)]
-    known = term >= 0
-    term, chunk = term[known], chunk[known]
-    value = impact(flat.field("n").to_numpy(zero_copy_only=False)[known].astype(float), np.repeat(batch.column("dl").to_numpy(), sizes)[known].astype(float))
-    order = np.argsort(chunk, kind="stable")
-    term, chunk, value = term[order], chunk[order], value[order]
-    q_n, step = len(w.queries), max(1, _CELLS // max(1, len(w.queries)))
-    held_q, held_c, held_s = [], [], []
-    for lo in range(0, len(names), step):
-        a, b = np.searchsorted(chunk, [lo, lo + step])
-        n = w.first[term[a:b] + 1] - w.first[term[a:b]]
-        at = np.repeat(w.first[term[a:b]] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        width = min(step, len(names) - lo)
-        cell = w.query[at] * width + np.repeat(chunk[a:b] - lo, n)
-        score = np.round(np.bincount(cell, w.weight[at] * np.repeat(value[a:b], n), minlength=q_n * width), 6).reshape(q_n, width)
-        kth = np.maximum(np.partition(score, width - min(k, width), axis=1)[:, width - min(k, width)], 1e-6)
-        q, c = np.nonzero(score >= kth[:, None])
-        held_q.append(q)
-        held_c.append(c + lo)
-        held_s.append(score[q, c])
-    q, c, s = (np.concatenate(x) if x else np.zeros(0, int) for x in (held_q, held_c, held_s))
-    order = np.lexsort((c, -s, q))
-    q, c, s = q[order], c[order], s[order]
-    good = np.arange(len(q)) - np.searchsorted(q, q) < k
-    if good.any():
-        yield pa.RecordBatch.from_arrays([pa.array(w.queries[q[good]], pa.string()), pa.array(names[by_name][c[good]], pa.string()), pa.array(s[good])], ["query_id", "chunk_id", "score"])
+        order = order[np.searchsorted(term[order], 0) :]
+        chunk = np.repeat(np.arange(n), sizes)[order]
+        value = impact(flat.field("n").to_numpy(zero_copy_only=False)[order].astype(float), batch.column("dl").to_numpy(zero_copy_only=False)[chunk].astype(float))
+        start = np.searchsorted(term[order], np.arange(len(w.terms) + 1))
+        for lo, _, lines, own in blocks:
+            table[: len(lines)] = 0
+            of = w.term[lines]
+            held = start[of + 1] - start[of]
+            at = np.repeat(start[of] - np.cumsum(held) + held, held) + np.arange(held.sum())
+            table[np.repeat(np.arange(len(lines)), held), chunk[at]] = value[at] * np.repeat(w.weight[lines], held)
+            rows = [r if h else None for r, h in zip(table[: len(lines), :n], held.tolist())]
+            for q, mine in enumerate(own, lo):
+                parts = [rows[x] for x in mine if rows[x] is not None]
+                if not parts:
+                    continue
+                score = parts[0]
+                for part in parts[1:]:
+                    score = np.add(score, part, room[:n])
+                least = floor[q]
+                if score.max() <= least + 4e-7:  # rounded, not above it
+                    continue
+                new = np.flatnonzero(score > least + 4e-7)
+                s = np.round(score[new], 6)
+                if len(s) > k:
+                    good = s >= np.partition(s, len(s) - k)[len(s) - k]
+                    new, s = new[good], s[good]
+                good = s > least
+                s, new = np.concatenate([scores[q], s[good]]), np.concatenate([places[q], new[good] + base])
+                best = np.argsort(-s, kind="stable")[:k]
+                scores[q], places[q] = s[best], new[best]
+                if len(best) == k:
+                    floor[q] = s[best[-1]]
+        base += n
+    sizes = np.array([len(s) for s in scores])
+    all_places = np.concatenate(places)
+    found, at = np.unique(all_places, return_inverse=True)
+    names, all_scores = names_at(files, "chunk_id", found), np.concatenate(scores)
+    query, rank = np.repeat(np.arange(q_n), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
+    for a in range(0, len(query), 50_000):
+        b = a + 50_000
+        yield pa.RecordBatch.from_arrays([w.queries.take(pa.array(query[a:b])), names.take(pa.array(at[a:b])), pa.array(all_scores[a:b]), pa.array(rank[a:b].astype(np.int32))], ["query_id", "chunk_id", "score", "rank"])
+
+
+def _posts_of(posts: DataFrame, terms: pa.Array) -> DataFrame:
+    """``chunk_id, posts, dl`` with the posts of some terms only, without chunks that have none."""
+    shared = posts.sparkSession.sparkContext.broadcast(terms)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = batch.column("posts")
+            flat = held.flatten()
+            known = pc.is_in(flat.field("item"), value_set=shared.value)
+            n = np.bincount(np.repeat(np.arange(batch.num_rows), pc.list_value_length(held).to_numpy(zero_copy_only=False))[known.to_numpy(zero_copy_only=False)], minlength=batch.num_rows)
+            left = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), flat.filter(known))
+            yield pa.RecordBatch.from_arrays([batch.column("chunk_id"), left, batch.column("dl")], ["chunk_id", "posts", "dl"]).filter(pa.array(n > 0))
+
+    return posts.mapInArrow(keep, "chunk_id string, posts array<struct<item:string,n:int>>, dl int")
 
 
 def scored_top_k(chunks: DataFrame, weights: DataFrame, k: int, impact, stopwords: bool = False) -> DataFrame:
     """``query_id, chunk_id, score, rank``: the k best of ``chunks`` (``chunk_id, body``) per query by the sum of weight x impact.
 
-    The weights (``query_id, term, weight``) are a stated query set: they are broadcast in parts of at most ``WEIGHT_ROWS`` rows, and a
-    chunk is scored against all queries of a part where it is read. A batch gives its k best per query; these alone are
-    shuffled, never pairs of chunks and queries. ``impact(tf, dl)`` works on whole columns. Scores are rounded to 6 decimals before
+    The counted chunks are written once, in order of their ids and with those words only that a query has (all of them, if the queries have
+    more than ``WEIGHT_ROWS`` words). Queries (``query_id, term, weight``) are spread over tasks, about ``TASK_ROWS`` weights each, and a task reads
+    the counted chunks from the shared folder and keeps the k best of each of its queries, so neither pairs of chunks and queries nor
+    lists of parts of the chunks are shuffled. ``impact(tf, dl)`` works on whole columns. Scores are rounded to 6 decimals before
     they are ranked, so the order of summing cannot turn a tie; chunks that score 0 are not found.
     """
     spark = chunks.sparkSession
     weights = materialize(weights.where("query_id is not null and term is not null").select(F.col("query_id").cast("string"), "term", F.col("weight").cast("double")), "weights")
-    parts = max(1, -(-2 * weights.count() // WEIGHT_ROWS))  # parts by hash are not of one size
-    posts = counted(chunks.select(F.col("chunk_id").cast("string"), "body"), stopwords).select("chunk_id", "posts", "dl")
-    out = None
-    for part in range(parts):
-        rows = bounded_pandas(weights.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part), WEIGHT_ROWS, "weights of one part")
-        shared = spark.sparkContext.broadcast(_Weights(rows))
-
-        def score(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows and len(shared.value.terms):
-                    yield from _best_of_batch(batch, shared.value, impact, k)
-
-        found = posts.mapInArrow(score, "query_id string, chunk_id string, score double")
-        out = found if out is None else stacked(out, found)
-    return top_k(out, k)
+    posts = counted(chunks.where("chunk_id is not null").select(F.col("chunk_id").cast("string"), "body"), stopwords).select("chunk_id", "posts", F.col("dl").cast("int").alias("dl"))
+    terms = weights.select("term").distinct().limit(WEIGHT_ROWS + 1).toArrow().column(0).combine_chunks().cast(pa.string())
+    if len(terms) <= WEIGHT_ROWS:
+        posts = _posts_of(posts, terms)
+    files, cells = in_order(posts, "posts", "chunk_id"), _CELLS
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [b for b in batches if b.num_rows]
+        if rows:
+            yield from _search(_Weights(pa.Table.from_batches(rows)), files, impact, k, cells)
+
+    parts = max(2 * spark.sparkContext.defaultParallelism, -(-weights.count() // TASK_ROWS))
+    return weights.repartition(parts, "query_id").mapInArrow(search, "query_id string, chunk_id string, score double, rank int")
 
 
 def or_search(terms: DataFrame, chunks: DataFrame, k: int = 10) -> DataFrame:
