@@ -1,4 +1,4 @@
-"""Lexical retrieval of a set of questions: chunks are counted and scored where they are read."""
+"""Lexical retrieval of a set of questions: chunks are counted where they are read, and scored by tasks that have some of the questions."""
 
 from __future__ import annotations
 
