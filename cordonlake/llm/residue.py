@@ -254,21 +254,39 @@ def fitted(df: DataFrame, id_col: str, text_col: str, host_col: str, sample_rows
     """The model of :func:`residue` for a table, None for one without texts.
 
     At most ``sample_rows`` rows, those of the smallest hash of the id; up to a third of them are rows whose text one of the weak phrases marks,
-    looked for among twelve times as many rows of the smallest hash only. Rows over ``sample_chars`` characters are not taken.
+    looked for among twelve times as many rows of the smallest hash only, a slice of the hash after the other until there are enough. Rows over ``sample_chars`` characters are not taken.
     """
     rows = _texts(df, id_col, text_col, host_col).where(F.length("text") <= sample_chars)
     plain = hash_sample(rows, "id", sample_rows - sample_rows // 3, seed)
     if not len(plain):
         return None
-    total = rows.count()
-    h = F.xxhash64(F.col("id").cast("string"), F.lit(seed + 1))
-    # drawn by the hash before any pattern is tried
-    wide = rows if total <= 12 * sample_rows else rows.where(h < F.lit(int(-(2**63) + 2**64 * (12 * sample_rows / total))))
-    hint = F.col("text").rlike("(?im)" + _NOTICE.pattern) | F.col("text").rlike("(?is)" + _FILLER.pattern) | F.col("text").rlike(r"(?i)\{\{|<%|\[(?:insert|tbd)|todo:|%%|__[a-z]|_here>|\{0\}|\$\{|\[[●•]")
-    marked = wide.where(hint).orderBy(h, "id").limit(sample_rows // 3).toPandas()
+    marked = _marked(rows, sample_rows // 3, 12 * sample_rows, seed + 1)
     return ResidueModel(pd.concat([plain, marked]).drop_duplicates("id"))
 
 
+def _marked(rows: DataFrame, n: int, among: int, seed: int) -> pd.DataFrame:
+    """The ``n`` rows of the smallest hash of the id whose text a weak phrase marks, looked for among about ``among`` rows of the smallest hash.
+
+    Patterns are what costs, so they are tried on a slice of the hash at a time: first three times ``n`` rows, then what the share of marked ones
+    calls for and a fifth more, last what is left. Slices follow each other in the hash, so the rows are those that one pass would give.
+    """
+    total, h = rows.count(), F.xxhash64(F.col("id").cast("string"), F.lit(seed))
+    hint = F.col("text").rlike("(?im)" + _NOTICE.pattern) | F.col("text").rlike("(?is)" + _FILLER.pattern) | F.col("text").rlike(r"(?i)\{\{|<%|\[(?:insert|tbd)|todo:|%%|__[a-z]|_here>|\{0\}|\$\{|\[[●•]")
+    end = 1.0 if total <= among else among / total
+    found: list[pd.DataFrame] = []
+    done, held, upto = 0.0, 0, min(end, 3 * n / max(1, total))
+    for last in (False, False, True):
+        upto = end if last else upto
+        low, high = (int(-(2**63) + 2**64 * share) for share in (done, upto))
+        part = rows.where(h >= F.lit(low)) if upto == 1 else rows.where((h >= F.lit(low)) & (h < F.lit(high)))
+        found.append(part.where(hint).orderBy(h, "id").limit(n - held).toPandas())
+        held, done = held + len(found[-1]), upto
+        if held >= n or done >= end:
+            break
+        upto = min(end, 1.2 * n / held * done) if held else end
+    return pd.concat([f for f in found if len(f)] or found[:1])
+
+
 def _texts(df: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
     return df.where(F.col(id_col).isNotNull() & F.col(text_col).rlike(r"\S")).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(host_col).cast("string").alias("host"))
 
