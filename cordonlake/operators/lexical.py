@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cordonlake.functions.text import run_lengths, search_terms, words
+from cordonlake.functions.text import STOPWORDS, run_lengths, search_terms, words
 from cordonlake.session import in_order, materialize, names_at, read_batches
 
 WEIGHT_ROWS = 2_000_000
@@ -18,14 +20,41 @@ TASK_ROWS = 100_000
 _CELLS = 8_000_000  # scores held at once
 
 
+_POSTS = "posts array<struct<item:string,n:int>>, dl int"
+
+
+def _counter(stopwords: bool):
+    """A column function from texts to their ``posts`` and ``dl``: the words of :func:`words` or :func:`search_terms`."""
+    find, out = re.compile("[a-z0-9]{3,}").findall, frozenset() if stopwords else frozenset(STOPWORDS)
+
+    @F.arrow_udf("struct<" + _POSTS.replace("posts ", "posts:").replace("dl ", "dl:") + ">")
+    def count(body: pa.Array) -> pa.Array:
+        ends, items, counts, lengths = [0], [], [], []
+        for text in body.to_pylist():
+            held = Counter(find(text.lower())) if text else {}
+            for word in out & held.keys():
+                del held[word]
+            items += held.keys()
+            counts += held.values()
+            ends.append(len(items))
+            lengths.append(sum(held.values()))
+        pairs = pa.StructArray.from_arrays([pa.array(items, pa.string()), pa.array(counts, pa.int32())], ["item", "n"])
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs), pa.array(lengths, pa.int32())], ["posts", "dl"])
+
+    return count
+
+
 def counted(chunks: DataFrame, stopwords: bool = False) -> DataFrame:
     """``chunks`` with ``dl``, the number of its words, and ``posts``, an array of each distinct word and its count.
 
-    Counts are made within the row: no word is shuffled. ``stopwords`` keeps the stopwords. A null body has no words.
+    Counts are made within the row, in Arrow batches: no word is shuffled. ``stopwords`` keeps the stopwords. A null body has no words.
     """
-    tokens = words(F.col("body")) if stopwords else search_terms(F.col("body"))
-    posts = F.coalesce(run_lengths(tokens), F.array().cast("array<struct<item:string,n:int>>"))
-    return chunks.withColumn("posts", posts).withColumn("dl", F.coalesce(F.aggregate("posts", F.lit(0), lambda s, p: s + p["n"]), F.lit(0)))
+    return chunks.select("*", _counter(stopwords)(F.col("body")).alias("_counts")).select(*chunks.columns, "_counts.posts", "_counts.dl")
+
+
+def indexed(chunks: DataFrame, stopwords: bool = False) -> DataFrame:
+    """The chunks without their bodies, counted and written once: :func:`document_frequency` and :func:`scored_top_k` take it in place of chunks."""
+    return materialize(counted(chunks, stopwords).drop("body"), "index")
 
 
 def postings(chunks: DataFrame, stopwords: bool = False) -> DataFrame:
@@ -40,7 +69,9 @@ def _kinds(tokens: Column) -> Column:
 
 
 def document_frequency(chunks: DataFrame, stopwords: bool = False) -> DataFrame:
-    """``term, df``: chunks per word. What a partition holds of a word is added up before the shuffle."""
+    """``term, df``: chunks per word, of chunks with a ``body`` or of :func:`indexed` ones. What a partition holds of a word is added up before the shuffle."""
+    if "posts" in chunks.columns:
+        return chunks.select(F.explode("posts.item").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     tokens = words(F.col("body")) if stopwords else search_terms(F.col("body"))
     return chunks.select(F.explode(_kinds(tokens)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
@@ -167,11 +198,11 @@ def _posts_of(posts: DataFrame, terms: pa.Array) -> DataFrame:
             left = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), flat.filter(known))
             yield pa.RecordBatch.from_arrays([batch.column("chunk_id"), left, batch.column("dl")], ["chunk_id", "posts", "dl"]).filter(pa.array(n > 0))
 
-    return posts.mapInArrow(keep, "chunk_id string, posts array<struct<item:string,n:int>>, dl int")
+    return posts.mapInArrow(keep, "chunk_id string, " + _POSTS)
 
 
 def scored_top_k(chunks: DataFrame, weights: DataFrame, k: int, impact, stopwords: bool = False) -> DataFrame:
-    """``query_id, chunk_id, score, rank``: the k best of ``chunks`` (``chunk_id, body``) per query by the sum of weight x impact.
+    """``query_id, chunk_id, score, rank``: the k best of ``chunks`` (``chunk_id, body``, or :func:`indexed` ones) per query by the sum of weight x impact.
 
     The counted chunks are written once, in order of their ids and with those words only that a query has (all of them, if the queries have
     more than ``WEIGHT_ROWS`` words). Queries (``query_id, term, weight``) are spread over tasks, about ``TASK_ROWS`` weights each, and a task reads
@@ -181,7 +212,8 @@ def scored_top_k(chunks: DataFrame, weights: DataFrame, k: int, impact, stopword
     """
     spark = chunks.sparkSession
     weights = materialize(weights.where("query_id is not null and term is not null").select(F.col("query_id").cast("string"), "term", F.col("weight").cast("double")), "weights")
-    posts = counted(chunks.where("chunk_id is not null").select(F.col("chunk_id").cast("string"), "body"), stopwords).select("chunk_id", "posts", F.col("dl").cast("int").alias("dl"))
+    named = chunks.where("chunk_id is not null").withColumn("chunk_id", F.col("chunk_id").cast("string"))
+    posts = (named if "posts" in chunks.columns else counted(named.select("chunk_id", "body"), stopwords)).select("chunk_id", "posts", "dl")
     terms = weights.select("term").distinct().limit(WEIGHT_ROWS + 1).toArrow().column(0).combine_chunks().cast(pa.string())
     if len(terms) <= WEIGHT_ROWS:
         posts = _posts_of(posts, terms)

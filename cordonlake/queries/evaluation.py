@@ -13,7 +13,7 @@ from cordonlake.operators import contract, evaluation, grounding
 from cordonlake.plans import answer
 from cordonlake.queries.corpus import CHUNKS, DOCS, chunks, documents
 from cordonlake.queries.retrieval import _FUSE, _LEX, _QS, _RERANKED, _STOP, _dense_by_question, _fused, _lexical, questions
-from cordonlake.session import stacked, table
+from cordonlake.session import materialize, stacked, table
 
 QUERIES, ORACLE = {}, {}
 
@@ -166,8 +166,8 @@ _ODD = ['"grade": %d', '"grade": "%d"', '"grade": %d.0', '"grade": 7', '"grade":
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = known(spark, sf_dir)
-    return contract.pool(_list(spark, sf_dir, "lexical"), k.select("query_id", F.col("source_chunk").alias("chunk_id")))
+    k = materialize(known(spark, sf_dir), "known")
+    return contract.pool(_lexical(spark, sf_dir, k.select("query_id", "question")), k.select("query_id", F.col("source_chunk").alias("chunk_id")))
 
 
 def _responses(spark: SparkSession, sf_dir: str, asked: DataFrame) -> DataFrame:
