@@ -14,10 +14,14 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cordonlake.functions.text import STOPWORDS
+from cordonlake.session import give_back, giving_back
+
+MODEL_ROWS = 1_000  # rows that a model gets at once
 
 
 class Embedder(Protocol):
@@ -65,10 +69,12 @@ class SharedWords:
     """Share of a question's distinct words that the passage has."""
 
     def score(self, questions: list[str], passages: list[str]) -> np.ndarray:
-        out = np.zeros(len(questions))
+        out, last, held = np.zeros(len(questions)), None, set()
         for i, (q, p) in enumerate(zip(questions, passages)):
+            if p != last:  # pairs come by passage, each is read once
+                last, held = p, set(terms(p))
             asked = set(terms(q))
-            out[i] = len(asked & set(terms(p))) / len(asked) if asked else 0.0
+            out[i] = len(asked & held) / len(asked) if asked else 0.0
         return out
 
 
@@ -76,21 +82,25 @@ def embed(df: DataFrame, id_col: str, text_col: str, model: Embedder, keep: str
     """``id, tenant, v`` of the texts, as dense search takes them; texts whose vector is all zero are left out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
+        for batch in batches:
+            for a in range(0, len(batch), MODEL_ROWS):
+                pdf = batch.iloc[a : a + MODEL_ROWS]
                 v = model.embed(pdf["text"].tolist())
                 used = np.abs(v).max(1) > 0
                 yield pd.DataFrame({"id": pdf["id"][used], "tenant": pdf["tenant"][used], "v": list(v[used].astype(np.float32))})
 
     rows = df.select(F.col(id_col).cast("string").alias("id"), (F.col(keep) if keep else F.lit(None)).cast("string").alias("tenant"), F.col(text_col).alias("text"))
-    return rows.where("id is not null and text is not null").mapInPandas(run, "id string, tenant string, v array<float>")
+    return rows.where("id is not null and text is not null").mapInPandas(giving_back(run), "id string, tenant string, v array<float>")
 
 
 def scores(pairs: DataFrame, model: Scorer) -> DataFrame:
     """``pairs`` (with ``question, passage``) and their ``score``; null texts count as empty."""
 
-    @F.pandas_udf("double")
-    def run(q: pd.Series, p: pd.Series) -> pd.Series:
-        return pd.Series(model.score(q.fillna("").tolist(), p.fillna("").tolist()))
+    @F.arrow_udf("double")
+    def run(q: pa.Array, p: pa.Array) -> pa.Array:
+        text = lambda x, a: [t or "" for t in x[a : a + MODEL_ROWS].to_pylist()]
+        out = [np.asarray(model.score(text(q, a), text(p, a)), np.float64) for a in range(0, len(q), MODEL_ROWS)]
+        give_back()
+        return pa.array(np.concatenate([np.zeros(0), *out]))
 
     return pairs.withColumn("score", run("question", "passage"))

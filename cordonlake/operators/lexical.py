@@ -13,24 +13,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cordonlake.functions.text import STOPWORDS, run_lengths, search_terms, words
-from cordonlake.session import in_order, materialize, names_at, read_batches
+from cordonlake.session import give_back, giving_back, in_order, materialize, names_at, read_batches
 
 WEIGHT_ROWS = 2_000_000
 TASK_ROWS = 100_000
 _CELLS = 8_000_000  # scores held at once
+_COUNT_ROWS = 500  # texts whose words are held as Python strings at once
 
 
 _POSTS = "posts array<struct<item:string,n:int>>, dl int"
 
 
-def _counter(stopwords: bool):
-    """A column function from texts to their ``posts`` and ``dl``: the words of :func:`words` or :func:`search_terms`."""
-    find, out = re.compile("[a-z0-9]{3,}").findall, frozenset() if stopwords else frozenset(STOPWORDS)
-
-    @F.arrow_udf("struct<" + _POSTS.replace("posts ", "posts:").replace("dl ", "dl:") + ">")
-    def count(body: pa.Array) -> pa.Array:
+def _count(body: pa.Array, out: frozenset[str]) -> pa.Array:
+    """``posts`` and ``dl`` of texts without the words ``out``, so many texts at a time that few words are held as Python strings."""
+    find, parts = re.compile("[a-z0-9]{3,}").findall, []
+    for a in range(0, len(body), _COUNT_ROWS):
         ends, items, counts, lengths = [0], [], [], []
-        for text in body.to_pylist():
+        for text in body[a : a + _COUNT_ROWS].to_pylist():
             held = Counter(find(text.lower())) if text else {}
             for word in out & held.keys():
                 del held[word]
@@ -39,7 +38,19 @@ def _counter(stopwords: bool):
             ends.append(len(items))
             lengths.append(sum(held.values()))
         pairs = pa.StructArray.from_arrays([pa.array(items, pa.string()), pa.array(counts, pa.int32())], ["item", "n"])
-        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs), pa.array(lengths, pa.int32())], ["posts", "dl"])
+        parts.append(pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs), pa.array(lengths, pa.int32())], ["posts", "dl"]))
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("posts", pa.list_(pa.struct([("item", pa.string()), ("n", pa.int32())]))), ("dl", pa.int32())]))
+
+
+def _counter(stopwords: bool):
+    """A column function from texts to their ``posts`` and ``dl``: the words of :func:`words` or :func:`search_terms`."""
+    out = frozenset() if stopwords else frozenset(STOPWORDS)
+
+    @F.arrow_udf("struct<" + _POSTS.replace("posts ", "posts:").replace("dl ", "dl:") + ">")
+    def count(body: pa.Array) -> pa.Array:
+        counts = _count(body, out)
+        give_back()
+        return counts
 
     return count
 
@@ -198,7 +209,7 @@ def _posts_of(posts: DataFrame, terms: pa.Array) -> DataFrame:
             left = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), flat.filter(known))
             yield pa.RecordBatch.from_arrays([batch.column("chunk_id"), left, batch.column("dl")], ["chunk_id", "posts", "dl"]).filter(pa.array(n > 0))
 
-    return posts.mapInArrow(keep, "chunk_id string, " + _POSTS)
+    return posts.mapInArrow(giving_back(keep), "chunk_id string, " + _POSTS)
 
 
 def scored_top_k(chunks: DataFrame, weights: DataFrame, k: int, impact, stopwords: bool = False) -> DataFrame:
@@ -225,7 +236,7 @@ def scored_top_k(chunks: DataFrame, weights: DataFrame, k: int, impact, stopword
             yield from _search(_Weights(pa.Table.from_batches(rows)), files, impact, k, cells)
 
     parts = max(2 * spark.sparkContext.defaultParallelism, -(-weights.count() // TASK_ROWS))
-    return weights.repartition(parts, "query_id").mapInArrow(search, "query_id string, chunk_id string, score double, rank int")
+    return weights.repartition(parts, "query_id").mapInArrow(giving_back(search), "query_id string, chunk_id string, score double, rank int")
 
 
 def or_search(terms: DataFrame, chunks: DataFrame, k: int = 10) -> DataFrame:

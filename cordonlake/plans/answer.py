@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from cordonlake.functions.providers import Scorer, Writer
 from cordonlake.functions.text import fence
 from cordonlake.operators import contract, fusion, grounding
+from cordonlake.session import materialize
 
 SHOWN, SHOWN_CHARS = 5, 700
 _MARK = "\nPassages:\n"
@@ -64,11 +65,12 @@ def answer_questions(questions: DataFrame, candidates: DataFrame, chunks: DataFr
     """Every stage by name: ``reranked``, ``shown``, ``parsed``, ``verified``, ``gate``.
 
     ``candidates`` (``query_id, chunk_id, rank``) is a fused list of chunks that the asking role may read: access is decided before
-    this. An answer that breaks the contract does not stand, with the reason ``contract: ...``.
+    this. An answer that breaks the contract does not stand, with the reason ``contract: ...``. What the models gave is written, as
+    several stages read it: each pair is scored and each question answered once.
     """
-    reranked = fusion.rerank(candidates, questions, chunks, scorer)
+    reranked = materialize(fusion.rerank(candidates, questions, chunks, scorer), "reranked")
     shown = shown_passages(reranked, chunks)
-    parsed = contract.answers(written(prompts(questions, shown), writer))
+    parsed = materialize(contract.answers(written(prompts(questions, shown), writer)), "answers")
     passages = shown.select(F.concat_ws("|", "query_id", "chunk_id").alias("passage_id"), "body")
     # a passage counts only for the question that it was shown to
     cited = contract.claims_of(parsed).withColumn("passage_id", F.concat_ws("|", "answer_id", "passage_id"))
