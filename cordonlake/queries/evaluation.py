@@ -167,7 +167,8 @@ _ODD = ['"grade": %d', '"grade": "%d"', '"grade": %d.0', '"grade": 7', '"grade":
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = materialize(known(spark, sf_dir), "known")
-    return contract.pool(_lexical(spark, sf_dir, k.select("query_id", "question")), k.select("query_id", F.col("source_chunk").alias("chunk_id")))
+    # written, as the responses and the grades both read it
+    return materialize(contract.pool(_lexical(spark, sf_dir, k.select("query_id", "question")), k.select("query_id", F.col("source_chunk").alias("chunk_id"))), "pool")
 
 
 def _responses(spark: SparkSession, sf_dir: str, asked: DataFrame) -> DataFrame:
