@@ -22,7 +22,7 @@ def peak(f):
 def test_words_of_few_texts_are_held_at_once():
     body = pa.array([" ".join(f"w{i % 97:02d}x{k:03d}" for k in range(100)) for i in range(5_000)] + [None, "the and w"])
     got, most = peak(lambda: lexical._count(body, frozenset({"the", "and"})))
-    assert most < 12_000_000  # several times as much when the words of a whole batch were held
+    assert most < 12_000_000  # 37 MB when the words of a whole batch were held
     one = lexical._count(body[-3:], frozenset({"the", "and"}))
     assert got[-3:].to_pylist() == one.to_pylist() and one.field("dl").to_pylist() == [100, 0, 0]
     assert lexical._count(body[:0], frozenset()).type == one.type and len(lexical._count(body[:0], frozenset())) == 0
