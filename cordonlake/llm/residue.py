@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from cordonlake.llm.words import mix64, word_hashes
 from cordonlake.llm.linear import Features, Hashed, LinearModel, hash_sample
@@ -34,12 +38,17 @@ NOTICES = {
     "abroad": r"""nicht gefunden|zugriff verweigert|javascript aktivieren|aktivieren sie|introuvable|accès refusé|activer javascript|no encontrada|acceso denegado|active javascript""",
 }
 _NOTICE = re.compile("|".join(NOTICES.values()), re.I)
-_FILLER = re.compile(
-    rf"lorem ipsum|(?:\b(?:{LATIN})\b.*){{3}}|(?:[asdfghjkl]{{4,}}\s+){{4}}|(?:qwer|asdf|zxcv)\w*\s+(?:\w*(?:qwer|asdf|zxcv|hjkl|sdfg)\w*\s*){{2}}"
-    # a word or two over and over, a sentence that comes again in its paragraph
-    r"|\b(\w+(?: \w+)?)(?:[\s,.]+\1\b){5}|(?:^|[.!?] )([A-Z][^.\n]{12,80}\.) (?:[^\n]{0,200} )?\2|\bdummy (?:line|word|text)s?\b|\bmock-?up\b|(?:your|sample|dummy|filler|placeholder|example) (?:text|copy|paragraph|content)\b|(?:text|copy|paragraph|content)\b.{0,40}\b(?:goes here|to be replaced|will follow|to come)\b|blindtext|faux texte|texto de relleno",
-    re.I | re.S,
-)
+# A word or two over and over, a sentence that comes again in its paragraph.
+_AGAIN = r"\b(\w+(?: \w+)?)(?:[\s,.]+\1\b){5}|(?:^|[.!?] )([A-Z][^.\n]{12,80}\.) (?:[^\n]{0,200} )?\2"
+_FILLERS = (
+    rf"lorem ipsum|(?:\b(?:{LATIN})\b.*){{3}}|(?:[asdfghjkl]{{4,}}\s+){{4}}|(?:qwer|asdf|zxcv)\w*\s+(?:\w*(?:qwer|asdf|zxcv|hjkl|sdfg)\w*\s*){{2}}",
+    r"\bdummy (?:line|word|text)s?\b|\bmock-?up\b|(?:your|sample|dummy|filler|placeholder|example) (?:text|copy|paragraph|content)\b|(?:text|copy|paragraph|content)\b.{0,40}\b(?:goes here|to be replaced|will follow|to come)\b|blindtext|faux texte|texto de relleno",
+)
+_FILLER = re.compile("|".join([_FILLERS[0], _AGAIN, _FILLERS[1]]), re.I | re.S)
+# Signs that a placeholder opens with, for the search of rows to learn from.
+_OPENED = r"\{\{|<%|\[(?:insert|tbd)|todo:|%%|__[a-z]|_here>|\{0\}|\$\{|\[[●•]"
+# Looser forms for RE2, which reads a text once: wherever a phrase matches, one of these does. Borders of words and lines are left out; repetitions, which RE2 lacks, are not covered.
+_LOOSE = ["(?is)" + p.replace(r"\b", "").replace("^", "").replace(r"\S+$", r"\S+").replace(r"\s", r"[\s\x0b]") for p in (*NOTICES.values(), *_FILLERS, _OPENED)]
 _PROSE = re.compile(r"\b(?:shall|must|may|will|agrees? to|plans? to|expects? to|such as|for example|where the)\b", re.I)
 
 #: Anything that could stand for a value to be filled in; the classifier decides.
@@ -268,10 +277,18 @@ def _marked(rows: DataFrame, n: int, among: int, seed: int) -> pd.DataFrame:
     """The ``n`` rows of the smallest hash of the id whose text a weak phrase marks, looked for among about ``among`` rows of the smallest hash.
 
     Patterns are what costs, so they are tried on a slice of the hash at a time: first three times ``n`` rows, then what the share of marked ones
-    calls for and a fifth more, last what is left. Slices follow each other in the hash, so the rows are those that one pass would give.
+    calls for and a fifth more, last what is left. Of a slice they are tried only on texts that have a looser form of one of them (``_LOOSE``), which a
+    search in linear time finds, or a repetition. Slices follow each other in the hash, so the rows are those that one pass would give.
     """
     total, h = rows.count(), F.xxhash64(F.col("id").cast("string"), F.lit(seed))
-    hint = F.col("text").rlike("(?im)" + _NOTICE.pattern) | F.col("text").rlike("(?is)" + _FILLER.pattern) | F.col("text").rlike(r"(?i)\{\{|<%|\[(?:insert|tbd)|todo:|%%|__[a-z]|_here>|\{0\}|\$\{|\[[●•]")
+    text = F.col("text")
+    hint = text.rlike("(?im)" + _NOTICE.pattern) | text.rlike("(?is)" + _FILLER.pattern) | text.rlike("(?i)" + _OPENED)
+
+    def looked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            may = reduce(pc.or_, (pc.match_substring_regex(b.column("text"), p) for p in _LOOSE))
+            yield pa.RecordBatch.from_arrays([*b.columns, may], [*b.schema.names, "may"])
+
     end = 1.0 if total <= among else among / total
     found: list[pd.DataFrame] = []
     done, held, upto = 0.0, 0, min(end, 3 * n / max(1, total))
@@ -279,7 +296,8 @@ def _marked(rows: DataFrame, n: int, among: int, seed: int) -> pd.DataFrame:
         upto = end if last else upto
         low, high = (int(-(2**63) + 2**64 * share) for share in (done, upto))
         part = rows.where(h >= F.lit(low)) if upto == 1 else rows.where((h >= F.lit(low)) & (h < F.lit(high)))
-        found.append(part.where(hint).orderBy(h, "id").limit(n - held).toPandas())
+        may = part.mapInArrow(looked, StructType([*part.schema.fields, StructField("may", BooleanType())]))
+        found.append(may.where((F.col("may") | text.rlike("(?is)" + _AGAIN)) & hint).drop("may").orderBy(h, "id").limit(n - held).toPandas())
         held, done = held + len(found[-1]), upto
         if held >= n or done >= end:
             break
